@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash_dedup, quality_rules, toxicity
+from . import embedding_dedup, langid, minhash_dedup, packing, quality_rules, toxicity
 from ._common import table
 
 
@@ -24,11 +24,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op8_packing": op8_packing,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {}
