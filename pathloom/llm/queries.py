@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, packing, quality_rules, toxicity
+from . import embedding_dedup, langid, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
 from ._common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,20 +28,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "removed_chunks", "text")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(sharding.digest(table(spark, sf_dir, "documents")), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
 }
 
