@@ -78,8 +78,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def _passes(a, b, n_a, n_b, limit: float) -> np.ndarray:
+    """Rows that may reach the limit. The registers sample the union without replacement, so the error of an estimate
+    shrinks as they come to hold all of it; sets of sizes too different cannot reach the limit at all."""
     got, used = estimate(a, b, n_a, n_b)
-    return got >= limit - MARGIN * np.sqrt(limit * (1 - limit) / np.maximum(used, 1)) - 1e-9
+    n_a, n_b, used = np.asarray(n_a, float), np.asarray(n_b, float), np.maximum(used, 1)
+    union = np.maximum((n_a + n_b) / (1 + limit), 2)
+    unseen = np.clip((union - used + 1) / (union - 1), 0, 1)
+    margin = MARGIN * np.sqrt(limit * (1 - limit) / used * unseen) + 1.5 / used
+    return (got >= limit - margin) & (np.minimum(n_a, n_b) >= limit * np.maximum(n_a, n_b) - 1e-9)
 
 
 def _features(batches):
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(rows.join(shared, "key"), "buckets")
-    members = texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = texts.join(buckets.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(members.mapInArrow(_sets, "doc_id long, items binary"), "sets")
 
     def confirm(pairs: DataFrame, estimated: bool) -> DataFrame:
