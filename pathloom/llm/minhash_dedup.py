@@ -155,11 +155,14 @@ def _block_pairs(limit: float):
     def of(group: dict) -> pa.RecordBatch:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, REGISTERS)
         ids, n, part, chunk = (np.array(group[c]) for c in ("doc_id", "n_shingles", "component", "chunk"))
+        bands = band_keys(sig)
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == group["key"][0])[0])]
         i, j = group["i"][0], group["j"][0]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = [], []
         for x in left:
             y = right[(part[right] != part[x]) & ((ids[right] > ids[x]) if i == j else True)]
+            y = y[~(earlier[y] == earlier[x]).any(axis=1)]  # a pair counts in the first band that it shares
             y = y[_passes(sig[x], sig[y], n[x], n[y], limit)] if len(y) else y
             a += [ids[x]] * len(y)
             b += ids[y].tolist()
