@@ -74,14 +74,14 @@ def deduplicated(docs: DataFrame, long: int = LONG) -> DataFrame:
     added are replaced. An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "removed_lines", "removed_chunks")
-    joined = docs.withColumn("_id", _id()).join(repeated(docs, long), "_id", "left")
-    c = chunks(F.col("text"), long)
-    joined = joined.withColumn("_chunks", F.when(F.col("removed").isNotNull(), c))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "removed")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get("_chunks", i)["body"]), "\n"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "text", _id().alias("_id"))  # no column of docs can clash
+    joined = own.join(repeated(docs, long), "_id", "left")
+    joined = joined.withColumn("chunks", F.when(F.col("removed").isNotNull(), chunks(F.col("text"), long)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "removed")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get("chunks", i)["body"]), "\n"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
-    lost = F.coalesce(F.aggregate(F.transform("removed", lambda i: F.get("_chunks", i)["n"]), F.lit(0), lambda a, n: a + n), F.lit(0)).cast("long")
+    lost = F.coalesce(F.aggregate(F.transform("removed", lambda i: F.get("chunks", i)["n"]), F.lit(0), lambda a, n: a + n), F.lit(0)).cast("long")
     return joined.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
         lines.alias("n_lines"), lost.alias("removed_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks"),
     )
