@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import analytics, grid, paths, sources, streams, visibility
+from .queries import analytics, graphs, grid, paths, sources, streams, visibility
 
-_MODULES = (grid, analytics, paths, sources, streams, visibility)
+_MODULES = (grid, analytics, paths, graphs, sources, streams, visibility)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

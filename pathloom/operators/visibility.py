@@ -31,6 +31,9 @@ class Field:
     def sees(self, p: tuple[int, int], q: tuple[int, int]) -> bool:
         (x0, y0), (x1, y1) = min(p, q), max(p, q)
         dx, dy, o = x1 - x0, y1 - y0, self.open
+        n = math.gcd(dx, abs(dy))
+        if any(self.near((x0 + dx // n * k, y0 + dy // n * k)) in (6, 9) for k in range(1, n)):
+            return False
         if dx == 0:
             return all((x0, y) in o or (x0 - 1, y) in o for y in range(y0, y1))
         if dy == 0:
@@ -39,8 +42,7 @@ class Field:
             a, b = sorted((y0 * dx + (x - x0) * dy, y0 * dx + (x + 1 - x0) * dy))
             if any((x, y) not in o for y in range(a // dx, -(-b // dx))):
                 return False
-        n = math.gcd(dx, abs(dy))
-        return all(self.near((x0 + dx // n * k, y0 + dy // n * k)) not in (6, 9) for k in range(1, n))
+        return True
 
     def visible(self, p: tuple[int, int]) -> list[tuple[tuple[int, int], float]]:
         """Corners that p sees, with distances."""
