@@ -124,3 +124,41 @@ def neighbours(boxes: DataFrame) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     out = out.unionByName(out.select(F.col("q").alias("p"), F.col("p").alias("q"), "length"))
     return out.select("p.x1", "p.y1", F.col("q.x1").alias("ox1"), F.col("q.y1").alias("oy1"), "length")
+
+
+def merged(boxes: DataFrame) -> DataFrame:
+    """(map, x1, y1, x2, y2) with boxes of a map joined in pairs that make a box again, the largest result first, until
+    no two do. The order is sequential within a map; maps are joined side by side."""
+
+    def join(p: pd.DataFrame) -> pd.DataFrame:
+        left = {tuple(map(int, r)) for r in p[["x1", "y1", "x2", "y2"]].itertuples(index=False)}
+
+        def partners(b: tuple) -> list[tuple]:
+            x1, y1, x2, y2 = b
+            near = [o for o in by_edge.get(("x", x2, y1, y2), ())] + [o for o in by_edge.get(("y", y2, x1, x2), ())]
+            return [(-(max(x2, o[2]) - x1) * (max(y2, o[3]) - y1), b, o) for o in near]
+
+        by_edge: dict[tuple, set] = {}
+        for b in left:
+            by_edge.setdefault(("x", b[0], b[1], b[3]), set()).add(b)
+            by_edge.setdefault(("y", b[1], b[0], b[2]), set()).add(b)
+        heap = [h for b in left for h in partners(b)]
+        heapq.heapify(heap)
+        while heap:
+            _, a, b = heapq.heappop(heap)
+            if a not in left or b not in left:
+                continue
+            left -= {a, b}
+            for o in (a, b):
+                by_edge[("x", o[0], o[1], o[3])].discard(o)
+                by_edge[("y", o[1], o[0], o[2])].discard(o)
+            new = (a[0], a[1], b[2], b[3])
+            left.add(new)
+            by_edge.setdefault(("x", new[0], new[1], new[3]), set()).add(new)
+            by_edge.setdefault(("y", new[1], new[0], new[2]), set()).add(new)
+            before = [(-(new[2] - o[0]) * (new[3] - o[1]), o, new) for o in left if (o[2], o[1], o[3]) == (new[0], new[1], new[3]) or (o[3], o[0], o[2]) == (new[1], new[0], new[2])]
+            for h in partners(new) + before:
+                heapq.heappush(heap, h)
+        return pd.DataFrame([(p["map"].iloc[0], *b) for b in sorted(left)], columns=["map", "x1", "y1", "x2", "y2"])
+
+    return boxes.groupBy("map").applyInPandas(join, "map string, x1 long, y1 long, x2 long, y2 long")

@@ -20,6 +20,7 @@ def _units(s, d):
 QUERIES = {
     "sm01_unit_replay": lambda s, d: T.simulated(_units(s, d)),
     "sm02_ticks": lambda s, d: T.drained(T.ticks(T.event_stream(s, d), "1 hour")),
+    "sm03_unit_states": lambda s, d: T.drained(T.unit_states(T.event_stream(s, d)), "update").groupBy("unit").agg(F.max_by(F.struct("n", F.round("t", 4).alias("t")), "seq").alias("r")).select("unit", "r.n", "r.t"),
     "sm05_stat_stream": lambda s, d: T.drained(T.log_totals(_log(T.event_stream(s, d)), exclude=["error"])),
     "sm07_all_done": lambda s, d: _units(s, d).groupBy("unit").agg(F.max("seq").alias("last")).agg(F.bool_and(F.col("last") > 100).alias("done")),
     "ext_sliding_windows": lambda s, d: T.drained(T.windows(T.event_stream(s, d), "2 hours", "1 hour", "1 day")),
@@ -27,6 +28,7 @@ QUERIES = {
 ORACLES = {
     "sm01_unit_replay": "WITH u AS (SELECT user_id AS unit, event_id AS seq, value, event_id%5 AS x, event_id*7%11 AS y FROM events), s AS (SELECT *, coalesce(sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)), 0) AS step FROM u WINDOW w AS (PARTITION BY unit ORDER BY seq)) SELECT unit, seq, round(sum(value) OVER w, 6) AS t, round(sum(step) OVER w, 6) AS distance FROM s WINDOW w AS (PARTITION BY unit ORDER BY seq ROWS UNBOUNDED PRECEDING)",
     "sm02_ticks": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1",
+    "sm03_unit_states": "SELECT user_id AS unit, count(*) AS n, round(sum(value), 4) AS t FROM events GROUP BY 1",
     "sm05_stat_stream": "SELECT event_type AS category, user_id % 7 AS owner, round(sum(value), 6) AS total, count(*) AS n, arg_max(value, event_id) AS last FROM events WHERE event_type <> 'error' GROUP BY 1, 2",
     "sm07_all_done": "SELECT bool_and(m > 100) AS done FROM (SELECT max(event_id) AS m FROM events GROUP BY user_id)",
     "ext_sliding_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start, event_type, count(*) AS n FROM events CROSS JOIN range(2) t(k) GROUP BY 1, 2",

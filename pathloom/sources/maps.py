@@ -167,3 +167,27 @@ def map_text(cells: DataFrame, width: int, height: int) -> DataFrame:
     every = cells.sparkSession.range(height).withColumnRenamed("id", "y").join(picture(cells, width), "y", "left").select("y", F.coalesce("row", F.lit(blank)).alias("row"))
     body = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda r: r["row"]), "\n").alias("b"))
     return body.select(F.concat(F.lit(f"type octile\nheight {height}\nwidth {width}\nmap\n"), "b", F.lit("\n")).alias("value"))
+
+
+def parse_instances(line: DataFrame, names: list[str]) -> DataFrame:
+    """(file, row_id, *names) of instance files: a first line with the number of rows, then rows of whole numbers; rows
+    beyond that number, and those with too few numbers, are left out."""
+    first = line.where("row_id = 0").select("file", F.trim("value").try_cast("int").alias("count")).where("count is not null")
+    rows = line.where("row_id > 0").join(first, "file").where("row_id <= count").withColumn("p", F.split(F.trim("value"), SEPARATED))
+    return rows.select("file", "row_id", *(F.get("p", F.lit(i)).try_cast("bigint").alias(n) for i, n in enumerate(names))).dropna(subset=names)
+
+
+def parse_trace(line: DataFrame) -> DataFrame:
+    """(file, row_id, event, numbers) of search traces: lines that say popped, generating or intermediate, with the
+    numbers that they hold."""
+    event = F.regexp_extract(F.lower("value"), "(popped|generating|intermediate)", 1)
+    numbers = F.transform(F.regexp_extract_all("value", F.lit("([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1)), lambda v: v.cast("double"))
+    return line.select("file", "row_id", event.alias("event"), numbers.alias("numbers")).where("event <> ''")
+
+
+def parse_primitives(line: DataFrame) -> DataFrame:
+    """(o, o2, dx, dy, cost, swept) of motion primitives, a line each: five whole numbers, then the swept cells as pairs."""
+    p = line.select(F.transform(F.split(F.trim("value"), SEPARATED), lambda v: v.try_cast("bigint")).alias("p")).where(F.size("p") >= 5)
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(p) - 5) div 2 - 1").cast("int")), lambda i: F.struct(F.get("p", 5 + 2 * i).alias("dx"), F.get("p", 6 + 2 * i).alias("dy")))
+    swept = F.when(F.size("p") >= 7, pairs).otherwise(F.array().cast("array<struct<dx:bigint,dy:bigint>>"))
+    return p.select(*(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("o", "o2", "dx", "dy", "cost"))), swept.alias("swept"))

@@ -64,3 +64,21 @@ def simulated(units: DataFrame, speed: str = "value") -> DataFrame:
     step = F.sqrt((F.col("x") - F.lag("x").over(back)) * (F.col("x") - F.lag("x").over(back)) + (F.col("y") - F.lag("y").over(back)) * (F.col("y") - F.lag("y").over(back)))
     rows = rows.withColumn("step", F.coalesce(step, F.lit(0.0)))
     return rows.select("unit", "seq", "t", F.round(F.sum("step").over(w), 6).alias("distance"))
+
+
+def unit_states(events: DataFrame) -> DataFrame:
+    """(unit, seq, n, t): each unit's clock and number of actions, kept as state from one batch to the next. Events of a
+    unit within a batch act in the order of seq; one row per unit and batch comes out."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def act(key: tuple, batches, state: GroupState):
+        n, t, last = state.get if state.exists else (0, 0.0, -1)
+        for batch in batches:
+            batch = batch.sort_values("seq")
+            n, t, last = n + len(batch), t + float(batch["value"].sum()), max(last, int(batch["seq"].max()))
+        state.update((n, t, last))
+        yield pd.DataFrame({"unit": [key[0]], "seq": [last], "n": [n], "t": [round(t, 6)]})
+
+    rows = events.select(F.col("user_id").alias("unit"), F.col("event_id").alias("seq"), "value")
+    return rows.groupBy("unit").applyInPandasWithState(act, "unit long, seq long, n long, t double", "n long, t double, last long", "update", GroupStateTimeout.NoTimeout)

@@ -108,6 +108,15 @@ def test_readers_refuse_bad_files(spark):
     assert maps.unpacked(maps.packed([0, -1, 70000])) == [0, -1, 70000]
 
 
+def test_small_readers(spark):
+    f = spark.createDataFrame([("i", "2\n1 2\n3 4\n5 6\n")], "file string, value string")
+    assert [(r.a, r.b) for r in maps.parse_instances(maps.lines(f), ["a", "b"]).orderBy("row_id").collect()] == [(1, 2), (3, 4)]
+    t = spark.createDataFrame([("t", "popped root=(1.5, 2)\nnothing\n generating 3e1\n")], "file string, value string")
+    assert [(r.event, r.numbers) for r in maps.parse_trace(maps.lines(t)).orderBy("row_id").collect()] == [("popped", [1.5, 2.0]), ("generating", [30.0])]
+    m = spark.createDataFrame([("m", "0 1 2 1 22000 1 0 2 0\n0 0 1 0 5\n1 2\n")], "file string, value string")
+    assert [(r.cost, len(r.swept)) for r in maps.parse_primitives(maps.lines(m)).orderBy("cost").collect()] == [(5, 0), (22000, 2)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
