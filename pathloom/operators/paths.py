@@ -222,3 +222,61 @@ def run_lengths(moves: DataFrame) -> DataFrame:
 
 def clusters(cells: DataFrame, size: int = 10) -> DataFrame:
     return cells.select("x", "y", F.expr(f"x div {size}").alias("cx"), F.expr(f"y div {size}").alias("cy"))
+
+
+def jump_table_costs(cells: DataFrame, problems: DataFrame) -> DataFrame:
+    """(id, cost) of problems (id, sx, sy, gx, gy) by a search that reads jumps from a table instead of scanning. Beside
+    the table's jumps it takes those that pass the target: straight ones end on it, diagonal ones where they come to its
+    row or column."""
+    arcs, labels = numbered(cells), G.jump_labels(cells).select(node("x", "y").alias("n"), "dir", "steps").toPandas()
+    if len(labels) > 8 * search.BROADCAST_ARCS:
+        raise ValueError("too many jumps for a task")
+    table = cells.sparkSession.sparkContext.broadcast({(n, d): k for n, d, k in labels.itertuples(index=False, name=None)})
+    open_ = cells.select(node("x", "y").alias("node"))
+    todo = problems.select("id", node("sx", "sy").alias("source"), node("gx", "gy").alias("target"))
+    todo = todo.join(open_.withColumnRenamed("node", "source"), "source", "left_semi").join(open_.withColumnRenamed("node", "target"), "target", "left_semi")
+
+    def solve(graph: search.Graph, source: int, target: int) -> int | None:
+        import heapq
+
+        legal = graph.__dict__.setdefault("legal", {n: {t - n for t, _ in v} for n, v in graph.out.items()})
+        h, tx, ty = _octile(target), target % WIDTH, target // WIDTH
+        best, closed, heap = {source: 0}, set(), [(h(source), 0, source)]
+
+        def run(n: int, step: int, most: int) -> int:
+            """Legal steps from n, up to most."""
+            k = 0
+            while k < most and step in legal.get(n, ()):
+                n, k = n + step, k + 1
+            return k
+
+        while heap:
+            _, g, n = heapq.heappop(heap)
+            if n == target:
+                return -g
+            if n in closed:
+                continue
+            closed.add(n)
+            x, y = n % WIDTH, n // WIDTH
+            for (dx, dy), flag in G.FLAGS.items():
+                step, ends = dy * WIDTH + dx, {table.value.get((n, flag), 0)}
+                ax, ay = (tx - x) * dx, (ty - y) * dy
+                if dx and dy:
+                    if ax > 0 and ay > 0 and run(n, step, min(ax, ay)) == min(ax, ay):
+                        ends.add(min(ax, ay))
+                elif (ax > 0 and ty == y) or (ay > 0 and tx == x):
+                    if run(n, step, ax + ay) == ax + ay:
+                        ends.add(ax + ay)
+                for k in ends - {0}:
+                    m, cost = n + k * step, -g + k * (G.DIAGONAL if dx and dy else G.STRAIGHT)
+                    if cost < best.get(m, cost + 1):
+                        best[m] = cost
+                        heapq.heappush(heap, (cost + h(m), -cost, m))
+        return None
+
+    def kernel(graph: search.Graph, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [(s, t, solve(graph, s, t)) for s, t in zip(batch["source"].tolist(), batch["target"].tolist())]
+        return pd.DataFrame(rows, columns=["source", "target", "cost"]).astype({"cost": "Int64"})
+
+    got = search.mapped(todo.select("source", "target").distinct(), arcs, "source long, target long, cost long", kernel)
+    return todo.join(got, ["source", "target"]).select("id", "cost")

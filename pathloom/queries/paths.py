@@ -103,6 +103,7 @@ QUERIES = {
     "pg04_dijkstra_cost": _costs("dijkstra"),
     "pg06_bidirectional_cost": _costs("bidirectional"),
     "pg11_jps_cost": lambda s, d: P.jump_point_costs(D.cells(s, d), D.problems(s, d)).where("cost is not null"),
+    "pg14_jump_table_cost": lambda s, d: P.jump_table_costs(D.cells(s, d), D.problems(s, d)).where("cost is not null"),
     "pg07_ch_cost": _ch,
     "pg45_valid_instances": lambda s, d: P.solved(_problems(s, d), _arcs(s, d)).where("cost > 0").select("id").orderBy(F.xxhash64("id")),
     "pg46_optimality_check": lambda s, d: P.solved(_problems(s, d), _arcs(s, d)).where("cost is not null").join(P.jump_point_costs(D.cells(s, d), D.problems(s, d)).withColumnRenamed("cost", "other"), "id").select("id", (F.abs(F.col("cost") - F.col("other")) <= 1000).alias("passed")),
@@ -142,7 +143,7 @@ ORACLES = {
     "pg03_sssp": f"{_R}, {_N}, {_FIRST}, {_FIX} {_XY}",
     "pg02_sssp_weighted": f"WITH RECURSIVE {D.WEIGHTED_SQL}, {_WA}, {_FIX} {_XY}",
     "pg20_sssp_corner_cutting": f"{_R}, {_CUT}, {_FIRST}, {_FIX} {_XY}",
-    **{k: _COST for k in ("pg01_scenario_cost", "pg04_dijkstra_cost", "pg06_bidirectional_cost", "pg11_jps_cost", "pg07_ch_cost")},
+    **{k: _COST for k in ("pg01_scenario_cost", "pg04_dijkstra_cost", "pg06_bidirectional_cost", "pg11_jps_cost", "pg14_jump_table_cost", "pg07_ch_cost")},
     "pg45_valid_instances": _COST.replace("SELECT id, cost FROM pr", "SELECT id FROM pr") + " WHERE cost > 0",
     "pg46_optimality_check": _COST.replace("SELECT id, cost FROM pr", "SELECT id, true AS passed FROM pr"),
     "fl13_path_validity": _COST.replace("SELECT id, cost FROM pr", "SELECT id, cost, true AS valid FROM pr"),
