@@ -18,7 +18,7 @@ from ._common import batch_of, pieces
 from ._text import raw, runs, span_hashes
 
 #: Labelled rows that a model is fitted on, at most; they are drawn by a hash of doc_id.
-MAX_ROWS = 6000
+MAX_ROWS = 5000
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (5, 6, 7)
 #: Features a model keeps, those that tell the labels apart best.
@@ -97,20 +97,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     got = rows.mapInArrow(_sample, "toxic int, hashes binary, values binary").limit(2 * max_rows).toArrow()
     return fit_sample(
         np.array(got.column("toxic").to_pylist(), np.int64),
-        [np.frombuffer(v, np.uint64) for v in got.column("hashes").to_pylist()],
-        [np.frombuffer(v, np.float32) for v in got.column("values").to_pylist()],
+        [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")],
+        [np.frombuffer(v.as_buffer(), np.float32) for v in got.column("values")],
     )
 
 
+#: Places that features are summed at first, before the few that matter are told apart by their whole hash.
+_PLACES = np.uint64((1 << 22) - 1)
+
+
+def _likely(toxic: np.ndarray, hashes: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    """Which places hold features that tell the labels apart, twice as many as are kept; in memory of a fixed size."""
+    size = int(_PLACES) + 1
+    texts, sums, square = np.zeros(size, np.int32), np.zeros((2, size), np.float32), np.zeros(size, np.float32)
+    for t, h, v in zip(toxic, hashes, values):
+        place = (h & _PLACES).astype(np.int64)
+        texts[place] += 1
+        sums[int(t > 0), place] += v
+        square[place] += v * v
+    bad = max(1, int((toxic > 0).sum()))
+    gap = np.abs(sums[1] / bad - sums[0] / max(1, len(toxic) - bad)) / np.sqrt(square / len(toxic) + 1e-4)
+    gap[texts < MIN_TEXTS] = 0
+    out = np.zeros(size, bool)
+    out[np.argpartition(-gap, 2 * MAX_FEATURES)[: 2 * MAX_FEATURES]] = True
+    return out
+
+
 def fit_sample(toxic: np.ndarray, hashes: list[np.ndarray], values: list[np.ndarray], rounds: int = 400, penalty: float = 3e-5) -> Model:
     n = len(toxic)
     if n == 0 or toxic.min() == toxic.max() or not sum(map(len, hashes)):
         nothing = np.zeros(0)
         return Model(np.zeros(0, np.uint64), nothing, np.full(GRADES - 1, 50.0 if n == 0 or not toxic.any() else -50.0))
-    order = sorted(range(n), key=lambda i: (int(toxic[i]), hashes[i].tobytes()))  # the same sample fits the same model
+    # the same sample fits the same model
+    order = sorted(range(n), key=lambda i: (int(toxic[i]), len(hashes[i]), int(hashes[i].sum(dtype=np.uint64))))
     toxic, hashes, values = toxic[order], [hashes[i] for i in order], [values[i] for i in order]
-    names, column = np.unique(np.concatenate(hashes), return_inverse=True)
-    row, value = np.repeat(np.arange(n), [len(h) for h in hashes]), np.concatenate(values).astype(np.float64)
+    likely = _likely(toxic, hashes, values)
+    keep = [likely[h & _PLACES] for h in hashes]
+    names, column = np.unique(np.concatenate([h[k] for h, k in zip(hashes, keep)]), return_inverse=True)
+    row, value = np.repeat(np.arange(n), [int(k.sum()) for k in keep]), np.concatenate([v[k] for v, k in zip(values, keep)]).astype(np.float64)
     texts = np.bincount(column, minlength=len(names))
     on = toxic[row] > 0
     mean = [np.bincount(column[m], value[m], minlength=len(names)) / max(1, (toxic == c).sum()) for c, m in ((0, ~on), (1, on))]
