@@ -36,6 +36,7 @@ def solved(problems: DataFrame, arcs: DataFrame, method: str = "astar", scale: i
 
     Methods: astar, dijkstra, bidirectional. Pairs in different components are not searched: their cost is null. A
     problem whose start is its target costs 0."""
+    arcs = search.scratch(arcs.select("source", "target", "cost"))
     nodes = arcs.select(F.col("source").alias("node")).unionByName(arcs.select(F.col("target").alias("node"))).distinct()
     part = search.scratch(search.components(arcs, nodes))
     p = problems.join(part.select(F.col("node").alias("source"), F.col("component").alias("_a")), "source").join(part.select(F.col("node").alias("target"), F.col("component").alias("_b")), "target")

@@ -135,6 +135,7 @@ def rounds(arcs: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
 
 def single_source(arcs: DataFrame, sources: DataFrame, limit: int = BROADCAST_ARCS) -> DataFrame:
     """(source, node, cost) for each of `sources` (source) and each node that it reaches."""
+    arcs = scratch(arcs.select("source", "target", "cost"))  # counted and then read: worth writing once
     if arcs.limit(limit + 1).count() <= limit:
 
         def kernel(graph: Graph, batch: pd.DataFrame) -> pd.DataFrame:
