@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from ..operators import grid as G, paths as P
 from ..plans import derived as D, search
+from . import grid as GQ
 from .grid import BASE
 
 W = P.WIDTH
@@ -160,4 +161,6 @@ ORACLES = {
     "pg18_clusters": f"{BASE}, {_N}, o AS (SELECT f%65536//10 AS cx, f//65536//10 AS cy, count(*) AS leaving FROM arcs WHERE f%65536//10 <> t%65536//10 OR f//65536//10 <> t//65536//10 GROUP BY 1, 2), c AS (SELECT x//10 AS cx, y//10 AS cy, count(*) AS cells FROM cells GROUP BY 1, 2) SELECT cx, cy, cells, COALESCE(leaving, 0) AS leaving FROM c LEFT JOIN o USING (cx, cy)",
     "pg21_quad_edges": f"{BASE}, {_N}, ks(k) AS (VALUES (2),(4),(8),(16)), q AS (SELECT k, f%65536//k AS ax, f//65536//k AS ay, t%65536//k AS bx, t//65536//k AS \"by\" FROM arcs CROSS JOIN ks) SELECT k, ax, ay, bx, \"by\", count(*) AS capacity FROM q WHERE ax <> bx OR ay <> \"by\" GROUP BY ALL",
     "pg24_relaxed_once": f"{_R}, {_N}, {_LAND}, {_FIX} SELECT s AS landmark, t AS node, min(cost + c) AS cost FROM d JOIN arcs ON f = n GROUP BY 1, 2",
+    "pg38_point_sssp": GQ.ORACLES["jn04_point_arcs"].replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT b.* FROM b", f", pa AS (SELECT b.* FROM b", 1) + f"), arcs AS (SELECT py*65536+px AS f, qy*65536+qx AS t, cost AS c FROM pa), src AS (SELECT min(f) AS s FROM arcs), {_FIX} SELECT n AS node, cost FROM d",
+    "pg16_refined_jumps": "SELECT (y*65536+x)*256+dir AS id, steps+1 AS points, (x*(steps+1) + sx*(steps*(steps+1)//2))::BIGINT AS sum_x, (y*(steps+1) + sy*(steps*(steps+1)//2))::BIGINT AS sum_y FROM (SELECT *, CASE WHEN dir IN (4,16,64) THEN 1 WHEN dir IN (8,32,128) THEN -1 ELSE 0 END AS sx, CASE WHEN dir IN (2,64,128) THEN 1 WHEN dir IN (1,16,32) THEN -1 ELSE 0 END AS sy FROM (" + GQ.ORACLES["pg13_jump_labels"] + "))",
 }
