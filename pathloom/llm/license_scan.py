@@ -9,6 +9,8 @@ certain. Template windows start at each word. Candidates are verified on whole s
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHINGLE, WORDS, STEP = 5, 6, 2
@@ -62,7 +64,8 @@ def _bands(sh: Column, i: Column) -> tuple[Column, Column]:
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """license, n_words, shingles (distinct) of each template; of a size that the parameter fixes."""
-    rows = spark.createDataFrame([(k, v) for k, v in (texts or TEMPLATES).items()], "license string, text string")
+    held = json.dumps([{"license": k, "text": v} for k, v in (texts or TEMPLATES).items()])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(held), "array<struct<license:string,text:string>>")).alias("t")).select("t.*")
     return rows.select("license", F.size(words(F.col("text"))).alias("n_words"), shingles(F.col("text")).alias("sh"))
 
 
