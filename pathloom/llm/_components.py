@@ -10,17 +10,22 @@ from ._common import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (u, v), for each node that has a link to another.
 
-    Each round maps every node to that of itself and its neighbours whose hash is least, and contracts the links by that
-    map. Only the local minima of a random order stay, so a chain, too, shrinks by a constant share each round. The
-    least neighbour is a partial aggregate, so a hub node does not meet in one task. Nulls and loops are dropped; an
+    Each round maps every node to the least of itself and its neighbours and contracts the links by that map. The order
+    is that of the numbers in one round, by which a star around its smallest node is gone at once, and that of a hash in
+    the next, by which only the local minima of a random order stay, so that a chain, too, shrinks by a constant share.
+    The least neighbour is a partial aggregate, so a hub node does not meet in one task. Nulls and loops are dropped; an
     empty table gives an empty one.
     """
     maps = []
     e = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "links")
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
-        to = stored(best.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("to")), "map")
+        if len(maps) % 2:
+            best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
+            to = best.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("to"))
+        else:
+            to = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"))
+        to = stored(to, "map")
         maps.append(to)
         a, b = to.select("u", F.col("to").alias("a")), to.select(F.col("u").alias("v"), F.col("to").alias("b"))
         e = e.join(a, "u").join(b, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
