@@ -1,10 +1,10 @@
 """Near-duplicate documents by HyperMinHash signatures (operator 4).
 
 A signature has REGISTERS registers of 16 bits. The first bits of a shingle's hash choose the register; the smallest
-hash of the register is kept as its count of leading zeros and MANTISSA bits after the first one. Empty registers borrow
-from the next filled one, bands of BAND registers are hashed, and documents that share a band are candidates. A
-collision-corrected estimate of the Jaccard similarity drops candidates far below the limit, and what remains is
-confirmed on the full shingle sets.
+hash of the register is kept as its count of leading zeros and MANTISSA bits after the first one. Each empty register
+borrows from the first filled one in a random order of its own, bands of BAND registers are hashed, and documents that
+share a band are candidates. A collision-corrected estimate of the Jaccard similarity drops candidates far below the
+limit, and what remains is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -53,15 +53,29 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _orders() -> np.ndarray:
+    """For each register a random order of all others, itself first; the transpose, so that a row is one attempt."""
+    g = np.random.default_rng(13)
+    own = [np.concatenate(([j], (o := g.permutation(REGISTERS))[o != j])) for j in range(REGISTERS)]
+    return np.ascontiguousarray(np.array(own).T)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """Band hashes of each row. An empty register takes the next filled one's value and its distance, so that a band of
-    a short text is as strict as one of a long text."""
+    """Band hashes of each row. An empty register takes the value and the number of the first filled one in its own
+    order. So two registers of a short text borrow independently, and each agrees between two texts where the first
+    register that either has filled holds the same in both: with a chance of about the similarity, at any length."""
     n, m = sig.shape
-    twice = np.concatenate((sig, sig), axis=1)
-    at = np.where(twice > 0, np.arange(2 * m), 4 * m)
-    ahead = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :m]
-    ahead = np.where(ahead < 2 * m, ahead, 0)
-    value = mix(np.take_along_axis(twice, ahead, axis=1).astype(np.uint64) * U(4 * m) + (ahead - np.arange(m)).astype(np.uint64))
+    source = np.broadcast_to(np.arange(m), (n, m)).copy()
+    row, register = np.nonzero((sig == 0) & (sig > 0).any(axis=1)[:, None])
+    for attempt in _orders()[1:]:
+        if not len(row):
+            break
+        at = attempt[register]
+        found = sig[row, at] > 0
+        source[row[found], register[found]] = at[found]
+        row, register = row[~found], register[~found]
+    value = mix(np.take_along_axis(sig, source, axis=1).astype(np.uint64) * U(m) + source.astype(np.uint64))
     order, factors = _deal()
     v = value[:, order].reshape(n, m // BAND, BAND)
     return mix((v * factors).sum(axis=2, dtype=np.uint64) + np.arange(m // BAND, dtype=np.uint64)).view(np.int64)

@@ -92,6 +92,18 @@ def test_minhash_estimate_is_near():
     assert used == 256 and abs(got - 0.6) < 0.12
 
 
+@pytest.mark.parametrize("union", [7, 14, 27, 54, 300])
+def test_minhash_finds_near_copies_of_short_texts(union):
+    """Pairs at Jaccard 0.85 or just above share a band, however few shingles they have."""
+    g, differ, a, b = np.random.default_rng(union), 15 * union // 100, [], []
+    for k in range(4000):
+        h = g.permutation(np.unique(g.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)))
+        a.append(np.sort(h[k % (differ + 1) :]))
+        b.append(np.sort(np.concatenate((h[: k % (differ + 1)], h[differ:]))))
+    x, y = (minhash_dedup.band_keys(minhash_dedup.signatures(s)) for s in (a, b))
+    assert (~(x == y).any(axis=1)).sum() <= 2
+
+
 def test_minhash_on_odd_tables(odd, empty):
     got = sorted(minhash_dedup.near_duplicates(odd).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     by = {r.doc_id: r for r in got}
