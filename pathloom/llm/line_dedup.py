@@ -8,7 +8,7 @@ function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import stored
 
@@ -48,35 +48,41 @@ def _removable(c: Column, long: int) -> Column:
 
 
 def repeated(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """(_id, removed): for each document that loses chunks, their numbers. _id is doc_id, or the largest long for null."""
-    own = docs.where("text is not null").select(_id().alias("_id"), F.posexplode(chunks(F.col("text"), long)).alias("at", "c")).where(_removable(F.col("c"), long))
+    """(_id, _text, removed): for each document that loses chunks, their numbers; see _document for its key."""
+    own = docs.where("text is not null").select(*_document(), F.posexplode(chunks(F.col("text"), long)).alias("at", "c")).where(_removable(F.col("c"), long))
     # equal bytes meet as keys of an aggregate that first runs within each task, so a common chunk is no hot key
     equal = own.groupBy(F.xxhash64("c.body").alias("key"), F.col("c.body").alias("body")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("size"))
     # different bytes under one key are left alone
     groups = equal.groupBy("key").agg(F.max("first").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("bodies"))
     groups = stored(groups.where("size > 1 and bodies = 1").select("key", "first"), "groups")
-    rows = stored(own.select("_id", "at", F.xxhash64("c.body").alias("key")).join(groups, "key"), "repeated")
-    kept = rows.where("_id = first").groupBy("key").agg(F.min("at").alias("first_at"))
-    gone = rows.join(kept, "key").where("not (_id = first and at = first_at)")
-    return gone.groupBy("_id").agg(F.collect_set("at").alias("removed"))
+    rows = stored(own.select("_id", "_text", "at", F.xxhash64("c.body").alias("key")).join(groups, "key"), "repeated")
+    kept = rows.where("_id = first").groupBy("key").agg(F.min(F.struct("_text", "at")).alias("kept"))
+    gone = rows.join(kept, "key").where("not (_id = first and _text = kept._text and at = kept.at)")
+    return gone.groupBy("_id", "_text").agg(F.collect_set("at").alias("removed"))
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+def _document() -> tuple[Column, Column]:
+    """What tells documents apart: doc_id, or the largest long for null, and a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_text")
 
 
 def deduplicated(docs: DataFrame, long: int = LONG) -> DataFrame:
     """docs with `text` rid of repeated chunks, and after its columns n_lines, removed_lines and removed_chunks.
 
     A chunk of several lines, or of one of `long` characters or more, that is found twice or more stays where it is
-    found first, by doc_id and place. A null text stays null, with no lines. Null doc_ids come last and count as one
-    document, and so do rows that repeat a doc_id: a chunk that is in each of them stays in each. Columns of the names
-    added are replaced. An empty table gives an empty one.
+    found first, by doc_id and place. A null text stays null, with no lines. Null doc_ids come last. Rows that repeat a
+    doc_id are documents of their own where their texts differ, in the order of a hash; rows equal in doc_id and text
+    count as one document and lose the same, but of rows with a null doc_id and equal texts one alone keeps its chunks.
+    Columns of the names added are replaced. An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "removed_lines", "removed_chunks")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "text", _id().alias("_id"))  # no column of docs can clash
-    joined = own.join(repeated(docs, long), "_id", "left")
-    joined = joined.withColumn("chunks", F.when(F.col("removed").isNotNull(), chunks(F.col("text"), long)))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "text", *_document(), F.col("doc_id").isNull().alias("_null"))  # no column of docs can clash
+    again = F.col("_null") & (F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id")) > 1)
+    joined = own.withColumn("_again", again).join(repeated(docs, long), ["_id", "_text"], "left")
+    joined = joined.withColumn("chunks", F.when(F.col("removed").isNotNull() | F.col("_again"), chunks(F.col("text"), long)))
+    every = F.filter(F.transform("chunks", lambda c, i: F.when(_removable(c, long), i)), lambda i: i.isNotNull())
+    every = F.when(F.size(every) > 0, every)
+    joined = joined.withColumn("removed", F.when(F.col("_again"), every).otherwise(F.col("removed")))
     left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "removed")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get("chunks", i)["body"]), "\n"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")

@@ -231,6 +231,19 @@ def test_line_dedup_equals_brute_force(spark, docs, odd, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_line_dedup_tells_rows_without_ids_apart(spark):
+    """Of rows that share an id, or have none, only those lose a chunk that hold it again."""
+    once, again = ("only here " * 30 + str(k) for k in range(2))
+    shared = "shared by some " * 20
+    rows = [(None, f"{shared}\n{once}a"), (None, f"{once}b\n{shared}"), (None, f"{once}c\n{again}"), (None, f"{once}d\n{again}"), (7, f"{once}e\n{once}f"), (7, f"{shared}\n{once}g"), (7, f"{once}h\n{shared}"), (None, "same " * 60), (None, "same " * 60), (None, None), (None, None)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    text = "\n".join(r.text or "" for r in got)
+    assert len(got) == len(rows) and all(text.count(once + c) == 1 for c in "abcdefgh")
+    assert text.count(shared) == 1 and text.count(again) == 1 and text.count("same " * 60) == 1
+    assert any(r.doc_id == 7 and shared in r.text for r in got) and sum(r.text is None for r in got) == 2
+    assert sum(r.removed_chunks for r in got) == sum(r.removed_lines for r in got) == 5
+
+
 def test_mixing(spark, docs, odd, empty):
     got = mixing.mixed(docs).collect()
     rows = {r.doc_id: r for r in docs.collect()}
