@@ -20,11 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, and n_chars follows; a document of which nothing is left goes as well."""
-    out = line_dedup.deduplicated(docs)
-    out = out.where((F.col("removed_chunks") == 0) | (F.length(F.trim("text")) > 0))
+    """Repeated chunks and runs of lines go, and n_chars follows; a document of which nothing is left goes as well."""
+    out = line_dedup.deduplicated(docs, run_words=line_dedup.RUN_WORDS)
+    out = out.where((F.col("removed_lines") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 

@@ -29,7 +29,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "removed_chunks", "text")
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), run_words=line_dedup.RUN_WORDS).select("doc_id", "n_lines", "removed_lines", "removed_chunks", "text")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
-from pathloom.llm import _components, embedding_dedup, langid, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
+from pathloom.llm import _components, embedding_dedup, langid, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +244,40 @@ def test_line_dedup_tells_rows_without_ids_apart(spark):
     assert sum(r.removed_chunks for r in got) == sum(r.removed_lines for r in got) == 5
 
 
+def test_repeated_runs_go_whole(spark, tmp_path):
+    """Passages of 2 to 20 short lines, 52 words or more in each, that stand in different surroundings."""
+    rows, n = [], 0
+    for size in range(2, 21):
+        passage = [" ".join(f"p{size}q{k}w{j}" for j in range(max(3, -(-52 // size)))) for k in range(size)]
+        for copy in range(3):
+            rows.append((n, "\n".join([f"begin {n}", f"own {n}", *passage, f"end {n}", ""])))
+            n += 1
+    rows.append((n, "\n".join(["so many words in each line here"] * 40)))  # its first run overlaps the next ones
+    rows.append((n + 1, "\n".join(["\n" * 80, "short", "", "lines", f"x{n}"])))
+    rows.append((n + 2, "\n".join(["\n" * 80, "short", "", "lines", f"y{n}"])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    for i, text in rows[:n]:
+        own = f"begin {i}\nown {i}\nend {i}\n"
+        assert got[i].text == (text if i % 3 == 0 else own), (i, got[i].text)
+        assert got[i].removed_lines == text.count("\n") - got[i].text.count("\n")
+    assert len(got[n].text.split()) >= 50 and got[n].removed_lines > 0
+    assert "x" in got[n + 1].text and "y" in got[n + 2].text
+
+
+def test_shortest_runs_equal_brute_force(spark):
+    g = np.random.default_rng(8)
+    texts = ["\n".join(" ".join(["w"] * int(k)) for k in g.integers(0, 1 + int(g.integers(1, 70)), int(g.integers(1, 120)))) for _ in range(40)]
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in d.select("text", F.transform(line_dedup.runs(F.col("text")), lambda x: x["span"]).alias("spans")).collect():
+        w = [max(1, len(x.split())) for x in r.text.split("\n")]
+        want = {(i, j + 1 - i) for i in range(len(w)) for j in range(i, len(w)) if sum(w[i : j + 1]) >= 50 and (sum(w[i:j]) < 50 or sum(w[i + 1 : j + 1]) < 50)}
+        want = {x for x in want if any(v.strip() for v in r.text.split("\n")[x[0] : sum(x)])}
+        assert want >= {x for x in want if sum(w[x[0] : sum(x)]) >= 50} and want <= {(s >> line_dedup.SPAN, s & ((1 << line_dedup.SPAN) - 1)) for s in r.spans}
+
+
 def test_mixing(spark, docs, odd, empty):
     got = mixing.mixed(docs).collect()
     rows = {r.doc_id: r for r in docs.collect()}
