@@ -368,6 +368,18 @@ def test_matrix_has_the_law_of_a_shuffle():
     assert abs(mean - 10.2) < 0.5 and abs(var - 30 * 0.34 * 0.66 * 70 / 99) < 1.2
 
 
+def test_draw_has_the_exact_law_at_any_size():
+    g, big = np.random.default_rng(6), 10**9
+    few = np.array([sharding.draw(g, big, 9 * big, 2) for _ in range(6000)])
+    assert abs((few == 0).mean() - 0.81) < 0.02 and abs((few == 1).mean() - 0.18) < 0.02
+    for good, bad, n in ((700, 1300, 400), (5, 2000, 300), (2000, 3, 1999)):  # as numpy, where both are offered
+        a = np.array([sharding._inverted(g, good, bad, n) for _ in range(4000)])
+        b = g.hypergeometric(good, bad, n, 4000)
+        assert abs(a.mean() - b.mean()) < 0.1 * max(b.std(), 0.5) and abs(a.std() - b.std()) < 0.1 * max(b.std(), 0.5)
+    many = [sharding.draw(g, 3 * big, 5 * big, 4 * big) for _ in range(20)]
+    assert abs(np.mean(many) - 1.5 * big) < 5 * (4 * big * 15 / 64 / 2) ** 0.5
+
+
 def test_langid(spark, docs, odd, empty):
     got = langid.identified(docs).collect()
     lang = {r.doc_id: r.lang for r in docs.collect()}
