@@ -7,25 +7,21 @@ to every task, where many searches run side by side; beyond that each round is a
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import stored
+
 #: Arcs that may be sent to every task; 24 bytes each.
 BROADCAST_ARCS = 2_000_000
 MAX_ROUNDS = 100_000
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder, which a lost executor does not take along: the session's
-    spark.checkpoint.dir, or where that is unset the warehouse."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/paths-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cuts lineage by a table in the shared folder, which a lost executor does not take along."""
+    return stored(df, "paths")
 
 
 class Graph:
