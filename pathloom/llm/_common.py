@@ -1,40 +1,29 @@
-"""Scratch tables, reading of tables and Arrow helpers that the operators share."""
+"""Reading of tables and Arrow helpers that the operators share."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-#: Bytes of text that a kernel turns into arrays at once; a longer text is one piece of its own.
-PIECE_BYTES = 1 << 20
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/pathloom-{spark.sparkContext.applicationId}"
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
+from ..plans.scratch import clear as clear_scratch, numbered, root as scratch_root, spread_join, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["batch_of", "clear_scratch", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table"]
 
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch table of this application; frames that still read them fail afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes of text that a kernel turns into arrays at once; a longer text is one piece of its own.
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by all their columns, maps left out."""
+    names = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*names), F.xxhash64(F.lit(1), *names)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
     """Slices of a batch whose texts in `column` have about `limit` bytes, one row at least."""
     import numpy as np

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import stored
+from ._common import spread_join, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,15 +21,16 @@ def components(links: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         if len(maps) % 2:
-            best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"))
-            to = best.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("to"))
+            best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("m"), F.count(F.lit(1)).alias("n"))
+            to = best.select("u", F.when(F.col("m.h") < F.xxhash64("u"), F.col("m.v")).otherwise(F.col("u")).alias("to"), "n")
         else:
-            to = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"))
-        to = stored(to, "map")
-        maps.append(to)
-        a, b = to.select("u", F.col("to").alias("a")), to.select(F.col("u").alias("v"), F.col("to").alias("b"))
-        e = e.join(a, "u").join(b, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
-        e = stored(e, "links")
+            to = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"), F.count(F.lit(1)).alias("n"))
+        to, rows = stored(to, "map"), e.count()
+        maps.append(to.select("u", "to"))
+        for k, c in (("u", "a"), ("v", "b")):  # a hub's links are dealt out
+            own = to.select(F.col("u").alias(k), F.col("to").alias(c))
+            e = spread_join(e, own, [k], to.select(F.col("u").alias(k), "n"), rows, ["u", "v"])
+        e = stored(e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "links")
     if not maps:
         return links.select(F.col("u").alias("node"), F.col("u").alias("component")).where(F.lit(False))
     out = maps[0].select(F.col("u").alias("node"), F.col("to").alias("component"))
@@ -37,5 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         m = m.select(F.col("u").alias("component"), "to")
         out = out.join(m, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     out = stored(out, "roots") if len(maps) > 1 else out
-    low = out.groupBy("component").agg(F.min("node").alias("low"))
-    return out.join(low, "component").select("node", F.col("low").alias("component"))
+    low = out.groupBy("component").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
+    return spread_join(out, low, ["component"], low, out.count(), ["node"]).select("node", F.col("low").alias("component"))

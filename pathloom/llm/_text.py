@@ -6,40 +6,25 @@ operations, so that Python runs a few instructions per piece and not per word.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
-
-
-@functools.cache
-def byte_values(lower: bool, seed: int = 7) -> np.ndarray:
-    """A random odd number for each byte; with `lower`, A-Z have those of a-z."""
-    t = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-@functools.lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (_BASE, _INVERSE):
-        p = np.full(1 << bits, U(b))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes up to which spans are hashed side by side, eight bytes a round; longer ones are hashed one by one.
+ROUNDS = 4
+#: The low 0 to 8 bytes of a number.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: An odd factor for each word of a window.
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: each input bit moves each output bit."""
+    """A 64-bit finaliser: each input bit moves each output bit, and no two inputs have one output."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
     return h ^ (h >> U(31))
@@ -76,13 +61,30 @@ def words(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span lies."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values(lower)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span, the same wherever the span lies; with `lower`, of A-Z as a-z. Eight bytes
+    at a time go through `mix`, so spans of one length up to eight bytes never share a hash, and others by chance only."""
+    import xxhash
+
+    if lower:
+        data = _LOWER[data]
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    eights = np.zeros(len(data) // 8 + 2, "<u8")
+    eights.view(np.uint8)[: len(data)] = data
+    out = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1))
+    for r in range(ROUNDS):
+        if not r:
+            at, place, left = slice(None), starts, size
+        else:
+            at = np.flatnonzero((size > 8 * r) & (size <= 8 * ROUNDS))
+            if not len(at):
+                break
+            place, left = starts[at] + 8 * r, size[at] - 8 * r
+        first, turn = place >> 3, ((place & 7) << 3).astype(np.uint64)
+        value = (eights[first] >> turn) | ((eights[first + 1] << U(1)) << (U(63) - turn))
+        out[at] = mix(out[at] ^ (value & _LOW[np.clip(left, 0, 8)]))
+    for i in np.flatnonzero(size > 8 * ROUNDS).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return out
 
 
 def windows(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def windows(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
     for k in range(size):
-        h = h * U(0xD6E8FEB86659FD93) + hashes[k : k + n]
+        h += hashes[k : k + n] * _FACTORS[k]
     first = np.flatnonzero(owner[:n] == owner[size - 1 :])
     return mix(h[first]), first
 

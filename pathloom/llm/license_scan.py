@@ -1,10 +1,16 @@
 """License notices found by MinHash bands over overlapping windows of words (operator 1).
 
-A window has WORDS words and so two shingles of five; windows start at each STEP-th word, so any five words in a row lie
-in one. A window's bands are its least hash under an order and under that order's reverse. As a window has two
-shingles, one of the two bands is each of them: a window that holds a shingle of a template shares a band with it for
-certain. Template windows start at each word. Candidates are verified on whole sets: a template matches where at least
-`least` of its distinct shingles lie in the words around the window. Everything is a DataFrame function.
+Templates of LONG shingles or more are looked for by windows of WINDOW shingles of five words, twenty words in all, that
+start at each STEP-th word of a text and at each word of a template. A window's signature has 2 * BANDS rows: the least
+and the greatest of its shingles in BANDS orders, an order being that of the shingle hashes' bits from a bit of its own
+on. A band is such a pair. Where a text holds 0.8 of a template's shingles together, one of its windows has a Jaccard
+similarity of 2/3 or more with the template's window at the same words, and the two share a band with a chance of
+1 - (1 - (2/3)^2)^BANDS = 0.997; a template of two separate windows is missed with 1e-5, one of three with 2e-8. Shorter
+templates are looked for by windows of one shingle, whose one band is the shingle, so they are found for certain.
+
+Bands are looked up in a bitmap of fixed size first, so that only the few windows that may match are written, and then
+joined with the templates' bands. Candidates are verified on whole sets: a template matches where at least `least` of its
+distinct shingles lie in the words around a window. Everything is a DataFrame function.
 """
 
 from __future__ import annotations
@@ -13,7 +19,15 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SHINGLE, WORDS, STEP = 5, 6, 2
+from ._common import spread_join, stored
+
+SHINGLE, WINDOW, STEP, BANDS = 5, 16, 4, 10
+#: Shingles of a template from which a text that holds 0.8 of it has a whole window inside.
+LONG = WINDOW + STEP - 1
+#: Bits by which the orders are apart, and the base-2 logarithm of the bitmap's largest size in bits.
+TURN, MAP_BITS = 5, 23
+#: Bands of templates up to which they are sent to every task; 16 bytes each.
+BROADCAST_BANDS = 1_000_000
 
 #: Wordings of common public licences and of the lines that refer to them.
 TEMPLATES = {
@@ -56,55 +70,94 @@ def shingles(text: Column) -> Column:
     return _let(words(text), of)
 
 
-def _bands(sh: Column, i: Column) -> tuple[Column, Column]:
-    """The least shingle of the window at i by the hash's order and by the reverse of it."""
-    own = [F.get(sh, i + k) for k in range(WORDS - SHINGLE + 1)]
-    return F.least(*own), F.greatest(*own)
+def _orders(sh: Column) -> Column:
+    """array<array<long>>: the shingles by the bits from 0, TURN, 2 * TURN, ... on."""
+
+    def turned(k: int) -> Column:
+        return F.transform(sh, lambda x: F.shiftleft(x, k * TURN))
+
+    return F.array(sh, *(turned(k) for k in range(1, BANDS)))
+
+
+def _bands(orders: Column, i: Column) -> Column:
+    """array<long>: the bands of the window at i."""
+
+    def band(own: Column, k: int) -> Column:
+        return F.xxhash64(F.lit(k), F.array_min(own), F.array_max(own))
+
+    return F.array(*(band(F.slice(F.get(orders, F.lit(k)), i + 1, WINDOW), k) for k in range(BANDS)))
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """license, n_words, shingles (distinct) of each template; of a size that the parameter fixes."""
+    """license, sh (shingles) of each template; of a size that the parameter fixes."""
     held = json.dumps([{"license": k, "text": v} for k, v in (texts or TEMPLATES).items()])
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(held), "array<struct<license:string,text:string>>")).alias("t")).select("t.*")
-    return rows.select("license", F.size(words(F.col("text"))).alias("n_words"), shingles(F.col("text")).alias("sh"))
+    return rows.select("license", shingles(F.col("text")).alias("sh")).where(F.size("sh") > 0)
 
 
-def scanned(docs: DataFrame, least: float = 0.8, texts: dict[str, str] | None = None) -> DataFrame:
-    """One row per document and template that it holds: doc_id, license, containment, first_word, last_word.
+def template_bands(t: DataFrame) -> DataFrame:
+    """license, band of the templates' windows."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - WINDOW, F.lit(0)))
+    long = F.flatten(_let(_orders(F.col("sh")), lambda o: F.transform(starts, lambda i: _bands(o, i))))
+    return t.select("license", F.explode(F.when(F.size("sh") >= LONG, long).otherwise(F.col("sh"))).alias("band")).distinct()
 
-    containment is the largest share of the template's distinct five-word shingles that lie together around a window,
-    at least `least`; first_word and last_word are the places of the first and the last window that found it. Words are
-    lowered runs of ASCII letters and digits, and whole texts are scanned. Null texts, and texts of under five words,
-    hold nothing; rows that repeat a doc_id count as one document, null ids too; other columns are ignored; an empty
-    table gives an empty one. Templates of under five words match nothing.
-    """
-    spark = docs.sparkSession
-    t = templates(spark, texts)
-    windows = t.select("license", "n_words", "sh", F.explode(F.sequence(F.lit(0), F.greatest(F.size("sh") - (WORDS - SHINGLE + 1), F.lit(0)))).alias("i"))
-    wanted = windows.select("license", "n_words", F.array_distinct("sh").alias("wanted"), F.explode(F.array(*_bands(F.col("sh"), F.col("i")))).alias("band")).where("band is not null").distinct()
-    found = wanted.select("band", "n_words").collect()  # a few numbers for each word of the templates
-    keys, reach = sorted({r[0] for r in found}), max((r[1] for r in found), default=SHINGLE)
-    if not keys:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word")).where(F.lit(False))
 
-    def hits(sh: Column) -> Column:
-        """Windows whose bands a template has, with their bands and the shingles around them."""
+def _place(band: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(band, 64 - bits)
 
-        def hit(i: Column) -> Column:
-            low, high = _bands(sh, i)
-            return low.isin(keys) | high.isin(keys)
 
-        def told(i: Column) -> Column:
-            around = F.slice(sh, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + WORDS)
-            return F.struct(i.alias("i"), F.array_distinct(F.array(*_bands(sh, i))).alias("bands"), around.alias("around"))
+def scanned(docs: DataFrame, least: float = 0.8, texts: dict[str, str] | None = None) -> DataFrame:
+    """One row per document and template that it holds: doc_id, license, containment, first_word, last_word.
 
-        starts = F.when(F.size(sh) > 0, F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STEP)))
-        return F.transform(F.filter(starts, hit), told)
+    containment is the largest share of the template's distinct five-word shingles that lie together around a window, at
+    least `least`, ties included; first_word and last_word are the places of the first and the last window that found it.
+    Words are lowered runs of ASCII letters and digits, and whole texts are scanned, however long. Null texts, and texts of
+    under five words, hold nothing; rows that repeat a doc_id count as one document, null ids too; other columns are
+    ignored; an empty table gives an empty one. Templates of under five words match nothing.
+    """
+    t = stored(templates(docs.sparkSession, texts), "templates")
+    wanted = stored(template_bands(t), "bands")
+    n = wanted.count()
+    bits = min(MAP_BITS, max(12, (64 * max(n, 1)).bit_length()))
+    # which bits are set, 64 to a number; most of them empty unless there are more than 2^MAP_BITS / 8 bands
+    words = wanted.select(_place(F.col("band"), bits).alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    held = {r["w"]: r["v"] for r in words.collect()}  # at most 2^(MAP_BITS - 6) numbers
+    bitmap = F.from_json(F.lit(json.dumps([held.get(w, 0) for w in range(1 << (bits - 6))])), "array<bigint>")
+    sizes = t.agg(F.max(F.size("sh")).alias("most"), F.count_if(F.size("sh") >= LONG).alias("long"), F.count_if(F.size("sh") < LONG).alias("short")).first()
+    reach = sizes["most"] or 0
+
+    def known(band: Column) -> Column:
+        p = _place(band, bits)
+        return F.getbit(F.get(bitmap, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def hit(i: Column, bands: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), F.filter(bands, known).alias("bands"))
 
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_let(shingles(F.col("text")), hits)).alias("x"))
-    rows = rows.select("doc_id", "x.i", F.explode("x.bands").alias("band"), "x.around")
-    pairs = rows.join(F.broadcast(wanted), "band")
-    share = F.size(F.array_intersect("wanted", "around")) / F.size("wanted")
-    matches = pairs.select("doc_id", "license", "i", share.alias("share")).where(F.col("share") >= least)
-    out = matches.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("i").alias("first_word"), F.max("i").alias("last_word"))
+    def hits(sh: Column) -> Column:
+        """Windows with a band that a template may have."""
+        none = F.array().cast("array<struct<i:int,bands:array<bigint>>>")
+        each = F.filter(F.transform(sh, lambda x, i: F.when(known(x), F.struct(i.alias("i"), F.array(x).alias("bands")))), lambda x: x.isNotNull()) if sizes["short"] else none
+        starts = F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STEP))
+        wide = _let(_orders(sh), lambda o: F.filter(F.transform(starts, lambda i: hit(i, _bands(o, i))), lambda x: F.size(x["bands"]) > 0)) if sizes["long"] else none
+        return F.when(F.size(sh) > 0, F.concat(each, wide))
+
+    found = _let(shingles(F.col("text")), lambda sh: F.struct(sh.alias("sh"), hits(sh).alias("hits")))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("x")).where(F.size("x.hits") > 0)
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.*"), "hits")  # of few documents, read twice
+    windows = rows.select("row", F.explode("hits").alias("h")).select("row", "h.i", F.explode("h.bands").alias("band"))
+    if n <= BROADCAST_BANDS:
+        windows, t = windows.join(F.broadcast(wanted), "band"), F.broadcast(t)  # a template has no more shingles than bands
+    else:
+        windows = stored(windows, "windows")
+        windows = spread_join(windows, wanted, ["band"], windows.groupBy("band").agg(F.count(F.lit(1)).alias("n")), windows.count())
+    places = windows.groupBy("row", "license").agg(F.sort_array(F.collect_set("i")).alias("places"))
+    pairs = places.join(rows.select("row", "doc_id", F.col("sh").alias("own")), "row").join(t, "license")
+
+    def share(i: Column) -> Column:
+        around = F.slice(F.col("own"), F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + WINDOW)
+        return F.struct((F.size(F.array_intersect("wanted", around)) / F.size("wanted")).alias("share"), i.alias("i"))
+
+    pairs = pairs.withColumn("wanted", F.array_distinct("sh"))
+    told = pairs.select("doc_id", "license", F.filter(F.transform("places", share), lambda x: x["share"] >= least).alias("m")).where(F.size("m") > 0)
+    out = told.groupBy("doc_id", "license").agg(F.max(F.array_max("m")["share"]).alias("containment"), F.min(F.get("m", F.lit(0))["i"]).alias("first_word"), F.max(F.element_at("m", -1)["i"]).alias("last_word"))
     return out.select("doc_id", "license", "containment", "first_word", "last_word")

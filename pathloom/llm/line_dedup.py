@@ -10,15 +10,17 @@ its neighbour. Everything is a DataFrame function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import stored
+from ._common import numbered, spread_join, stored
 
 WINDOW, DIVISOR = 2, 3
 #: Characters from which a line is a chunk of its own, and a repeated chunk of one line goes.
 LONG = 200
 #: Words from which a repeated run of lines goes whole, wherever chunks end; a line counts as one word at least.
 RUN_WORDS = 50
+#: What stands for a null doc_id, with the hash of the text.
+_LAST = (1 << 63) - 1
 #: A run of lines is its first line's number times 2^SPAN and the number of its lines.
 SPAN = 31
 
@@ -68,15 +70,25 @@ def _removable(c: Column, long: int) -> Column:
 def repeated(docs: DataFrame, long: int = LONG) -> DataFrame:
     """(_id, _text, removed): for each document that loses chunks, their numbers; see _document for its key."""
     own = docs.where("text is not null").select(*_document(), F.posexplode(chunks(F.col("text"), long)).alias("at", "c")).where(_removable(F.col("c"), long))
+    key, more = F.xxhash64("c.body"), F.xxhash64(F.lit(1), "c.body")
     # equal bytes meet as keys of an aggregate that first runs within each task, so a common chunk is no hot key
-    equal = own.groupBy(F.xxhash64("c.body").alias("key"), F.col("c.body").alias("body")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("size"))
-    # different bytes under one key are left alone
-    groups = equal.groupBy("key").agg(F.max("first").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("bodies"))
-    groups = stored(groups.where("size > 1 and bodies = 1").select("key", "first"), "groups")
-    rows = stored(own.select("_id", "_text", "at", F.xxhash64("c.body").alias("key")).join(groups, "key"), "repeated")
-    kept = rows.where("_id = first").groupBy("key").agg(F.min(F.struct("_text", "at")).alias("kept"))
-    gone = rows.join(kept, "key").where("not (_id = first and _text = kept._text and at = kept.at)")
-    return gone.groupBy("_id", "_text").agg(F.collect_set("at").alias("removed"))
+    equal = own.groupBy(key.alias("key"), more.alias("more"), F.col("c.body").alias("body")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # of different bytes that agreed in all 128 bits none would be touched
+    groups = equal.groupBy("key", "more").agg(F.max("first").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("bodies"))
+    groups = stored(groups.where("n > 1 and bodies = 1").drop("bodies"), "groups")
+    places = own.select("_id", "_text", "at", key.alias("key"), more.alias("more"))
+    return _without_first(places, groups, ["key", "more"], "at", lambda at, kept: at == kept, "removed")
+
+
+def _without_first(places: DataFrame, groups: DataFrame, on: list[str], at: str, same, name: str) -> DataFrame:
+    """(_id, _text, name): of each document the places of repeated pieces but for the first place of each piece, by _id,
+    then _text, then place, and what is the `same` as that one. groups has the pieces found n > 1 times and their least _id."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = stored(spread_join(places, groups, on, groups, max(total, 1) * 10, ["_id", "_text", at]), "repeated")
+    kept = rows.where("_id = first").groupBy(*on).agg(F.min(F.struct("_text", at)).alias("kept"))
+    rows = spread_join(rows, kept, on, groups.select(*on, "n"), total, ["_id", "_text", at])
+    is_kept = (F.col("_id") == F.col("first")) & (F.col("_text") == F.col("kept._text")) & same(F.col(at), F.col("kept")[at])
+    return rows.where(~is_kept).groupBy("_id", "_text").agg(F.collect_set(at).alias(name))
 
 
 def _span(start: Column, n: Column) -> Column:
@@ -148,16 +160,13 @@ def repeated_runs(docs: DataFrame, long: int = LONG, words: int = RUN_WORDS) ->
     """(_id, _text, spans): for each document the runs that are found before, and there do not overlap them."""
     own = docs.where("text is not null").select(*_document(), F.explode(runs(F.col("text"), long, words)).alias("r"))
     own = stored(own.select("_id", "_text", "r.*"), "all-runs")  # dearer to work out than to read again
-    groups = own.groupBy("a", "b").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    rows = stored(own.join(stored(groups, "run-groups"), ["a", "b"]), "runs")
-    kept = rows.where("_id = first").groupBy("a", "b").agg(F.min(F.struct("_text", "span")).alias("kept"))
-    is_kept = (F.col("_id") == F.col("first")) & (F.col("_text") == F.col("kept._text")) & (_start(F.col("span")) < _start(F.col("kept.span")) + _lines(F.col("kept.span")))
-    return rows.join(kept, ["a", "b"]).where(~is_kept).groupBy("_id", "_text").agg(F.collect_set("span").alias("spans"))
+    groups = stored(own.groupBy("a", "b").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "run-groups")
+    return _without_first(own, groups, ["a", "b"], "span", lambda x, kept: _start(x) < _start(kept) + _lines(kept), "spans")
 
 
 def _document() -> tuple[Column, Column]:
     """What tells documents apart: doc_id, or the largest long for null, and a hash of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_text")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_text")
 
 
 def deduplicated(docs: DataFrame, long: int = LONG, run_words: int | None = None) -> DataFrame:
@@ -165,22 +174,31 @@ def deduplicated(docs: DataFrame, long: int = LONG, run_words: int | None = None
 
     A chunk of several lines, or of one of `long` characters or more, that is found twice or more stays where it is
     found first, by doc_id and place. With `run_words`, so does any run of lines of that many words, and a short chunk of
-    one line that is found again with the same longer neighbour; removed_chunks counts chunks that go by themselves. A
-    null text stays null, with no lines. Null doc_ids come last. Rows that repeat a doc_id are documents of their own
-    where their texts differ, in the order of a hash; rows equal in doc_id and text count as one document and lose the
-    same, but of rows with a null doc_id and equal texts one alone keeps its chunks. Columns of the names added are
-    replaced. An empty table gives an empty one.
+    one line that is found again with the same longer neighbour; removed_chunks counts chunks that go by themselves. Whole
+    texts count, however long. A null text stays null, with no lines; an empty one has one line and stays. Null doc_ids
+    come last. Rows that repeat a doc_id are documents of their own where their texts differ, in the order of a hash; rows
+    equal in doc_id and text count as one document and lose the same, but of rows with a null doc_id and equal texts one
+    alone keeps its chunks. Columns of the names added are replaced. An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "removed_lines", "removed_chunks")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "text", *_document(), F.col("doc_id").isNull().alias("_null"))  # no column of docs can clash
-    again = F.col("_null") & (F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id")) > 1)
-    joined = own.withColumn("_again", again).join(repeated(docs, long), ["_id", "_text"], "left")
+    lost = repeated(docs, long)
+    if run_words:
+        lost = lost.join(repeated_runs(docs, long, run_words), ["_id", "_text"], "full")
+    else:
+        lost = lost.withColumn("spans", F.lit(None).cast("array<long>"))
+    lost = stored(lost, "lost").hint("shuffle_hash")  # texts are hashed to it, not sorted
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of docs can clash
+    named = docs.where("doc_id is not null").select(row, "text", *_document(), F.lit(False).alias("_again"))
+    # equal rows without an id are numbered, and all but one of those with one text are repeats
+    bare = numbered(docs.where("doc_id is null").select(row, "text"))
+    kept = F.min(F.struct(F.xxhash64("row"), "_copy"))
+    first = bare.groupBy(F.xxhash64("text").alias("_text")).agg(kept.alias("kept"), F.count(F.lit(1)).alias("n"))
+    bare = spread_join(bare.withColumn("_text", F.xxhash64("text")).withColumn("_own", F.struct(F.xxhash64("row"), F.col("_copy"))), first.select("_text", "kept"), ["_text"], first, docs.where("doc_id is null").count(), ["_own"])
+    bare = bare.select("row", "text", F.lit(_LAST).alias("_id"), "_text", (F.col("_own") != F.col("kept")).alias("_again"))
+    joined = named.unionByName(bare).join(lost, ["_id", "_text"], "left")
     if run_words:
-        joined = joined.join(repeated_runs(docs, long, run_words), ["_id", "_text"], "left")
         every = F.transform(runs(F.col("text"), long, run_words), lambda r: r["span"])
         joined = joined.withColumn("spans", F.when(F.col("_again"), every).otherwise(F.col("spans")))
-    else:
-        joined = joined.withColumn("spans", F.lit(None).cast("array<long>"))
     joined = joined.withColumn("chunks", F.when(F.col("removed").isNotNull() | F.col("_again"), chunks(F.col("text"), long)))
     every = F.filter(F.transform("chunks", lambda c, i: F.when(_removable(c, long), i)), lambda i: i.isNotNull())
     every = F.when(F.size(every) > 0, every)

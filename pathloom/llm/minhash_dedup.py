@@ -5,6 +5,9 @@ hash of the register is kept as its count of leading zeros and MANTISSA bits aft
 borrows from the first filled one in a random order of its own, bands of BAND registers are hashed, and documents that
 share a band are candidates. A collision-corrected estimate of the Jaccard similarity drops candidates far below the
 limit, and what remains is confirmed on the full shingle sets.
+
+A pair at the limit goes unseen where it shares no band, or where its estimate falls MARGIN standard errors short; the
+README has the share of simulated pairs for both together.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import batch_of, pieces, stored
+from ._common import batch_of, pieces, row_hashes, spread_join, stored
 from ._components import components
 from ._text import U, mix, shingle_sets
 
@@ -24,10 +27,7 @@ REGISTERS, BAND, MANTISSA, SHINGLE = 256, 8, 10, 5
 #: Standard errors that an estimate may lie below the limit before a candidate is dropped without a look at the sets.
 MARGIN = 4.5
 #: Rows of a block when all members of a band's bucket are compared.
-BLOCK = 256
-
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
-
+BLOCK = 1024
 
 @functools.cache
 def _deal() -> tuple[np.ndarray, np.ndarray]:
@@ -106,23 +106,25 @@ def _features(batches):
     for batch in batches:
         for part in pieces(batch, "text"):
             sets = shingle_sets(part.column("text"), SHINGLE)
-            sig = signatures(sets)
-            bands = band_keys(sig)
-            some = [len(s) > 0 for s in sets]
-            yield batch_of(
-                _FEATURES, part.column("doc_id"), [len(s) for s in sets],
-                [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if x else None for s, x in zip(sets, some)],
-                [r.tobytes() if x else None for r, x in zip(sig, some)], [r if x else None for r, x in zip(bands, some)],
-            )
+            sig, some = signatures(sets), [len(s) > 0 for s in sets]
+            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if x else None for s, x in zip(sets, some)], pa.binary())
+            sigs = pa.array([r.tobytes() if x else None for r, x in zip(sig, some)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), keys, sigs], names=["id", "n_shingles", "set_key", "sig"])
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+def _banded(batches):
+    for batch in batches:
+        if batch.num_rows:
+            bands = pa.array(list(band_keys(_rows(batch.column("sig")))), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bands], names=[*batch.schema.names, "bands"])
 
 
 def _sets(batches):
     for batch in batches:
         for part in pieces(batch, "text"):
-            yield batch_of(_SETS, part.column("doc_id"), [s.tobytes() for s in shingle_sets(part.column("text"), SHINGLE)])
+            sets = shingle_sets(part.column("text"), SHINGLE)
+            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "items"])
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -143,32 +145,12 @@ def _near(limit: float):
     return near
 
 
-def _confirmed(num: int, den: int):
-    """Pairs with den * intersection >= num * union."""
-
-    def confirmed(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = min(len(p), len(q)), max(len(p), len(q))
-                if den * small < num * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield batch_of(_PAIRS, batch.column("a").filter(keep), batch.column("b").filter(keep))
-
-    return confirmed
-
-
 def _block_pairs(limit: float):
     """Candidates of different components in blocks that lie together in a sorted partition."""
 
     def of(group: dict) -> pa.RecordBatch:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, REGISTERS)
-        ids, n, part, chunk = (np.array(group[c]) for c in ("doc_id", "n_shingles", "component", "chunk"))
+        ids, n, part, chunk = (np.array(group[c]) for c in ("node", "n_shingles", "component", "chunk"))
         bands = band_keys(sig)
         earlier = bands[:, : int(np.flatnonzero(bands[0] == group["key"][0])[0])]
         i, j = group["i"][0], group["j"][0]
@@ -183,7 +165,7 @@ def _block_pairs(limit: float):
         return batch_of(_PAIRS, a, b)
 
     def block_pairs(batches):
-        names, key, held = ("key", "i", "j", "chunk", "doc_id", "n_shingles", "component", "sig"), None, None
+        names, key, held = ("key", "i", "j", "chunk", "node", "n_shingles", "component", "sig"), None, None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:3] != key:
@@ -198,72 +180,116 @@ def _block_pairs(limit: float):
     return block_pairs
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents link when the Jaccard similarity of their sets of 5-word shingles is at least num / den; component_id is
-    the smallest doc_id reachable. Documents with equal sets form a class whose smallest doc_id stands for it, so exact
-    copies never meet in pairs. Within a band's bucket each member is compared with one pivot, the smallest first and a
-    random one next, which joins most of a group by as many pairs as it has members; only buckets that still hold
-    several components are compared in blocks, in all pairs of different components, so no candidate goes unseen.
+def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """From (id, text), where id is of any type with an order: (id, n_shingles, set_key) of each row, and (set_key, copies,
+    component) of each set, the component being the smallest id of all sets that links join. Rows without an id, and sets
+    without shingles, are in the first only."""
+    limit, kind = num / den, texts.schema["id"].dataType.simpleString()
+    f = stored(texts.mapInArrow(_features, f"id {kind}, n_shingles long, set_key binary, sig binary"), "features")
+    known = f.where("id is not null and set_key is not null")
+    classes = known.groupBy("set_key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+    classes = classes.select("set_key", "low", "copies", F.monotonically_increasing_id().alias("node"), "n_shingles", "sig")
+    classes = stored(classes.mapInArrow(_banded, f"set_key binary, low {kind}, copies long, node long, n_shingles long, sig binary, bands array<long>"), "classes")
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    n_rows = classes.count() * (REGISTERS // BAND)
+    shared = stored(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    buckets = stored(spread_join(rows, shared, ["key"], shared, n_rows).withColumnRenamed("n", "size"), "buckets")
+    n_rows = buckets.count()
+    members = stored(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("low", "set_key", "node"), "members")
+    # of rows that share an id, those with another set find no member
+    lows = members.select(F.col("low").alias("id")).distinct().hint("shuffle_merge")
+    found = texts.join(lows, "id", "left_semi").mapInArrow(_sets, "set_key binary, items array<long>").groupBy("set_key").agg(F.any_value("items").alias("items"))
+    sets = stored(found.join(members, "set_key").select("node", "items"), "sets")
+    sigs = classes.select("node", F.col("n_shingles").alias("n"), "sig")
+
+    def attached(pairs: DataFrame, values: DataFrame) -> DataFrame:
+        """Pairs of a table with the values of both nodes, of which a pivot is in many pairs."""
+        out, n = pairs, pairs.count()
+        for c in "ba":
+            own = values.toDF(c, *(f"{v}_{c}" for v in values.columns[1:]))
+            out = spread_join(out, own, [c], pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), n, ["a", "b"])
+        return out
 
-    A null or wordless text has no shingles and links with nothing. A null doc_id has a null component_id, links with
-    nothing and is kept. Rows that repeat a doc_id are one node and all come back. Other columns are ignored; an empty
-    table gives an empty one.
-    """
-    limit = num / den
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    f = stored(texts.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "features")
-    known = f.where("doc_id is not null and set_key is not null")
-    classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "n_shingles", "sig", "bands"), "reps")
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stored(rows.join(shared, "key"), "buckets")
-    members = texts.join(buckets.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(members.mapInArrow(_sets, "doc_id long, items binary"), "sets")
-
-    def confirm(pairs: DataFrame, estimated: bool) -> DataFrame:
-        for c in () if estimated else "ab":
-            pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}")), c)
+    def confirm(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
+        """Links among the pairs. Sets are compared by functions of the engine, one row at a time, however long they are."""
+        pairs = stored(pairs, name)
         if not estimated:
-            pairs = pairs.mapInArrow(_near(limit), "a long, b long")
-        for c in "ba":
-            pairs = pairs.join(sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}")), c)
-        return pairs.mapInArrow(_confirmed(num, den), "a long, b long")
+            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near(limit), "a long, b long"), name)
+        both, n_a, n_b = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a").cast("long"), F.size("items_b").cast("long")
+        out = attached(pairs, sets).where(den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)).where(den * both >= num * (n_a + n_b - both))
+        return stored(out.select("a", "b"), f"{name}-links")
 
     def open_buckets(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
-        own = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        own = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return stored(own.join(several, "key"), "open")
+        return stored(spread_join(own, several, ["key"], shared, n_rows, ["node"]), "open")
 
-    star = buckets.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(confirm(star, False), "star")
+    star = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirm(star, "star")
     found = components(links.toDF("u", "v"))
     left = open_buckets(found)
     if not left.isEmpty():
-        pick = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(2)), "doc_id", "component")).alias("p"))
-        pick = pick.select("key", F.col("p.doc_id").alias("a"), F.col("p.component").alias("other"))
-        again = left.join(pick, "key").where("component != other").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        links = links.unionByName(stored(confirm(again, False), "star"))
+        pick = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(2)), "node", "component")).alias("p"))
+        pick = pick.select("key", F.col("p.node").alias("a"), F.col("p.component").alias("other"))
+        again = spread_join(left, pick, ["key"], shared, n_rows, ["node"]).where("component <> other")
+        links = links.unionByName(confirm(again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "again"))
         found = components(links.toDF("u", "v"))
         left = open_buckets(found)
     if not left.isEmpty():
         chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks = left.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        blocks = blocks.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-        blocks = blocks.select("key", "i", "j", "chunk", "doc_id", "n_shingles", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        blocks = left.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        blocks = blocks.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).join(classes.select("node", "n_shingles", "sig"), "node")
+        blocks = blocks.select("key", "i", "j", "chunk", "node", "n_shingles", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = blocks.mapInArrow(_block_pairs(limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(stored(confirm(pairs, True), "blocks"))
+        links = links.unionByName(confirm(pairs, "blocks", True))
         found = components(links.toDF("u", "v"))
-    own = f.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    own = stored(found.join(classes.select("node", "low"), "node"), "found")
+    lows = own.groupBy("component").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(own.select("node", "component"), lows, ["component"], lows, own.count(), ["node"]).select("node", "lowest")
+    per_set = classes.select("set_key", "copies", "low", "node").join(named, "node", "left")
+    return f, stored(per_set.select("set_key", "copies", F.coalesce("lowest", "low").alias("component")), "components")
+
+
+def _rated(f: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n_shingles, component) of all rows; the component is null where a row can have no links."""
+    known = f.where("id is not null and set_key is not null").select("id", "n_shingles", "set_key")
+    out = spread_join(known, sets, ["set_key"], sets.select("set_key", F.col("copies").alias("n")), f.count(), ["id"]).select("id", "n_shingles", "component")
+    return out.unionByName(f.where("id is null or set_key is null").select("id", "n_shingles"), allowMissingColumns=True)
+
+
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents link when the Jaccard similarity of their sets of 5-word shingles is at least num / den; component_id is
+    the smallest doc_id reachable. Documents with equal sets form a class, so exact copies never meet in pairs. Within a
+    band's bucket each member is compared with one pivot, the smallest first and a random one next, which joins most of a
+    group by as many pairs as it has members; only buckets that still hold several components are compared in blocks, in
+    all pairs of different components, so no candidate goes unseen. Keys of many rows, such as a pivot, a bucket or a set
+    that a third of all documents hold, are dealt out to many tasks.
+
+    Whole texts count, however long. A null or wordless text has no shingles and links with nothing. A null doc_id has a
+    null component_id, links with nothing and is kept. Rows that repeat a doc_id are documents of their own, each with the
+    links of its text; equal rows all come back. Sizes that tie with the limit link. Other columns are ignored; an empty
+    table gives an empty one.
+    """
+    f, sets = _grouped(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), num, den)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return _rated(f, sets).select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
-    """docs without all but one document of each group: the one whose doc_id is the component_id."""
-    out = near_duplicates(docs, num, den).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each group: that of the smallest doc_id, nulls last, and of several such rows the one whose
+    hash of all columns is least. Here rows without a doc_id are grouped as well, and of equal rows one stays. Rows without
+    words all stay, but for equal ones. The columns stay as they are; an empty table gives an empty one."""
+    hashes = row_hashes(docs)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), hashes[0].alias("h"), hashes[1].alias("g"))  # no column of docs can clash
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), hashes[0].alias("h"), hashes[1].alias("g"))
+    f, sets = _grouped(docs.select(key.alias("id"), "text"), num, den)
+    rated = stored(_rated(f, sets).select("id.h", "id.g", (F.col("component").isNotNull() & (F.col("id") != F.col("component"))).alias("gone")), "rated")
+    twice = stored(rated.where("not gone").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "twice")
+    left = own.join(rated.where("gone").select("h", "g").distinct(), ["h", "g"], "left_anti")
+    if not twice.isEmpty():
+        once = left.join(twice, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.any_value("row").alias("row"))
+        left = left.join(twice, ["h", "g"], "left_anti").unionByName(once.select(*left.columns))
+    return left.select("row.*")

@@ -1,19 +1,22 @@
 """Mixing sources to target weights by hash-threshold histograms (operator 7).
 
-A document has a place between 0 and 2^60 - 1, a hash of its id. A source that is to give r times its words takes each
-document floor(r) times, and once more those whose place lies under a threshold. The threshold is found from sums of
-words by source and leading bits of the place: the running sum shows the bucket in which the budget ends, and only that
-bucket's documents are summed again by their next bits. Nothing is sorted, and thresholds of nested budgets are nested.
+A document has a place between 0 and 2^60 - 1, a hash of its columns and, where rows are equal, of its number among them.
+A source that is to give r times its words takes each document floor(r) times, and once more those whose place lies under
+a threshold. The threshold is found from sums of words by source and leading bits of the place: the running sum shows the
+bucket in which the budget ends, and only that bucket's documents are summed again by their next bits. Nothing is sorted,
+and thresholds of nested budgets are nested.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import stored
+from ._common import numbered, row_hashes, stored
 
 #: Bits of one histogram, and histograms until all bits of a place are used.
 BITS, LEVELS = 12, 5
+#: Copies of one row that a task makes.
+COPIES = 10_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -27,7 +30,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     goes to the others by weight until none is above.
 
     The last state is that of one common level: target = least(most * size, level * weight). Sources in the order of
-    their most * size / weight stop one after the other, so running sums over that order give the level at once.
+    their most * size / weight stop one after the other, so running sums over that order give the level at once. All
+    sources are sorted by one task, three numbers each: meant for up to some ten million of them.
     """
     one = Window.partitionBy(F.lit(0))
     order = F.row_number().over(one.orderBy(F.col("source").asc_nulls_last()))
@@ -43,7 +47,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 
 def _place() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 64 - BITS * LEVELS)
+    """From the row's hashes h and g and its number _copy."""
+    return F.shiftrightunsigned(F.xxhash64("h", "g", "_copy", F.lit(7)), 64 - BITS * LEVELS)
+
+
+def _sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """*more, source, size, h, g, _copy and place of each document."""
+    h, g = row_hashes(docs)
+    rows = numbered(docs.select(*(F.col(c) for c in more), "source", n_words().alias("size"), h.alias("h"), g.alias("g")))
+    return stored(rows.withColumn("place", _place()), "sizes")
 
 
 def _times(rows: DataFrame, cuts: DataFrame, most: float) -> DataFrame:
@@ -83,22 +95,34 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """One row per document: doc_id, size, source_size, target, taken, times.
 
     size is the number of words; taken is times * size, and the taken words of a source differ from its target by at
-    most the words of the documents that share the place where the budget ends. Those are taken whole or not at all,
-    whichever is nearer. Reruns agree, for a place depends on doc_id alone.
+    most half the words of the documents at the place where the budget ends, one document unless hashes tie; they are taken
+    or left, whichever is nearer. Reruns agree, however the table is dealt: places depend on the rows alone.
 
-    A null text has no words and is taken as its place says. A null source is a source of its own, the last one. Rows
-    that repeat a doc_id share its place, so they go together. Other columns are ignored; an empty table gives an empty
-    one.
+    Whole texts are counted. A null text has no words and is taken as its place says. A null source is a source of its own,
+    the last one. Rows that repeat a doc_id, or have none, are documents of their own, and so are equal rows. Other columns
+    only tell rows apart; an empty table gives an empty one.
     """
-    rows = stored(docs.select("doc_id", "source", n_words().alias("size"), _place().alias("place")), "sizes")
+    rows = _sizes(docs, "doc_id")
     out = _times(rows, thresholds(rows, weights, share, most), most)
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with each row as often as `mixed` takes it, none to `most` times; the columns stay. Texts are not shuffled
-    while the table of a row per source is small."""
-    rows = stored(docs.select("source", n_words().alias("size"), _place().alias("place")), "sizes")
+    """docs with each row as often as `mixed` takes it, none to `most` times; the columns stay, and the cases of `mixed`
+    hold. Texts are not shuffled while the table of a row per source is small, but for those of equal rows."""
+    rows = _sizes(docs)
     cuts = thresholds(rows, weights, share, most).drop("source_size", "target")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "source", _place().alias("place"))
-    return _times(own, cuts, most).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    twice = rows.where("_copy > 0").select("h", "g").distinct()
+    equal = stored(_times(rows.join(twice, ["h", "g"], "left_semi"), cuts, most).groupBy("h", "g").agg(F.sum("times").alias("times")), "equal-rows")
+    h, g = row_hashes(docs)
+    # the columns travel as one, so that none can clash
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", h.alias("h"), g.alias("g"), F.lit(0).cast("long").alias("_copy"))
+    copies = lambda n: F.explode(F.array_repeat(F.lit(0), n.cast("int")))
+    if equal.isEmpty():
+        return _times(own.withColumn("place", _place()), cuts, most).withColumn("copy", copies(F.col("times"))).select("row.*")
+    single = own.join(equal, ["h", "g"], "left_anti").withColumn("place", _place())
+    single = _times(single, cuts, most).withColumn("copy", copies(F.col("times"))).select("row")
+    many = own.join(equal.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.any_value("row").alias("row")).join(equal.where("times > 0"), ["h", "g"])
+    many = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(COPIES).cast("long")))).repartition("h", "g", "_from")
+    many = many.withColumn("copy", copies(F.least(F.lit(COPIES), F.col("times") - F.col("_from")))).select("row")
+    return single.unionByName(many).select("row.*")

@@ -9,10 +9,12 @@ need no padding, or end to end into bins of tails.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import batch_of, pieces
@@ -20,60 +22,99 @@ from ._common import batch_of, pieces
 CAPACITY = 1024
 #: Tokens of the shortest piece that a document is cut into besides its tail.
 LEAST = 64
-#: Words whose ids a task keeps at most.
-CACHE_WORDS = 300_000
+#: Words whose ids a task keeps, about, and bytes of text that it encodes at once.
+CACHE_WORDS, TEXT_BYTES = 300_000, 4 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-class WordIds(dict):
-    """Token ids of a word as bytes, 32-bit and little-endian; encoded when first asked for.
+#: What the tokenizer may take for white space, besides what is none to it; fixed values of Unicode.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-    A byte-level tokenizer begins a new token group at each single space, so the ids of a text are those of its words,
-    each with the space before it.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._fast = _fast_encoder(self._tokenizer)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+class WordIds:
+    """Token ids of words, encoded by the tokenizer when first met.
 
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = np.array(self._fast(word), "<u4").tobytes()
-        return out
+    A byte-level tokenizer begins a new token group at each space before a word, so the ids of a text are those of its
+    words, each with the space before it. Where that need not hold, the tokenizer encodes the whole text: where a space
+    follows other white space, where a text holds an added token or a byte that only some tables call white space, and
+    always if the tokenizer is not a plain byte-level one.
+    """
 
-    def text(self, text: str) -> bytes:
+    def __init__(self, path: str) -> None:
         import re
 
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        if re.search(r"\s \s", text) or re.search(r"[\x1c-\x1f\x85]", text):  # a space within white space begins no group
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + w] for w in rest]) if rest else self[first]
-
-
-def _fast_encoder(tokenizer):
-    """The tokenizer's own merges over its own vocabulary, run by tiktoken, whose calls for single words cost less."""
-    import json
-
-    import tiktoken
-    from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer
 
-    model = json.loads(tokenizer.to_str())
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
-    chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in model["added_tokens"]}
-    ranks = {bytes(chars[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-    assert isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # a fixed value of byte-level vocabularies
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._tokenizer = Tokenizer.from_file(path)
+        pre = json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self._tokenizer.normalizer is None
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._whole = "|".join([f"{_WHITE} ", r"[\x00\x1C-\x1F\x{85}]", *added]) if plain else ""
+        self._forget()
+
+        size = max(self._tokenizer.get_vocab().values(), default=0) + 1
+        self._opens = np.zeros(size, bool)  # which tokens begin with a space, which byte-level vocabularies write so
+        self._opens[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words = pa.array([], pa.large_string())
+        self._flat, self._ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # the ids of all words, one after the other
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Adds words that it does not hold. Those that are a space and no other white space are encoded end to end, many
+        at once, and told apart by the tokens that begin with a space."""
+        plain = pc.match_substring_regex(words, f"^ {_WHITE.replace('[', '[^', 1)}+$")
+        words = pa.concat_arrays([words.filter(plain), words.filter(pc.invert(plain))])
+        names, n = words.to_pylist(), pc.sum(plain).as_py() or 0
+        flat, ends, last = [self._flat], [self._ends], self._ends[-1]
+        for at in range(0, n, 2000):
+            part = names[at : min(at + 2000, n)]
+            ids = self._encoded(["".join(part)])[0]
+            first = np.flatnonzero(self._opens[ids])
+            if len(first) != len(part):
+                each = self._encoded(part)
+                ids, first = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            flat.append(ids)
+            ends.append(last + np.append(first[1:], len(ids)))
+            last += len(ids)
+        for ids in self._encoded(names[n:]):
+            flat.append(ids)
+            last += len(ids)
+            ends.append(np.array([last]))
+        self._flat, self._ends, self._words = np.concatenate(flat), np.concatenate(ends), pa.concat_arrays([self._words, words])
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text, 32-bit and little-endian; null counts as empty."""
+        if len(self._words) > CACHE_WORDS:
+            self._forget()
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(column, self._whole)
+        cut = column.filter(pc.invert(whole))  # these hold no zero byte, so one can stand before each space
+        lists = pc.split_pattern(pc.replace_substring(cut, " ", "\0 "), "\0")
+        words, per_text = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        at = pc.index_in(words, value_set=self._words)
+        if at.null_count:
+            missing = at.is_null()
+            known = len(self._words)
+            self._learn(pc.unique(words.filter(missing)))
+            new = pc.index_in(words.filter(missing), value_set=self._words.slice(known))
+            at = at.to_numpy(zero_copy_only=False)
+            at[missing.to_numpy(zero_copy_only=False)] = known + new.to_numpy(zero_copy_only=False)
+            at = at.astype(np.int64)
+        else:
+            at = at.to_numpy(zero_copy_only=False)
+        start, n = self._ends[at], self._ends[at + 1] - self._ends[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = self._flat[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        limits = 4 * ends[np.concatenate(([0], np.cumsum(per_text, dtype=np.int64)))]
+        found = iter([flat[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())])
+        alone = iter([self._encoded([t])[0].tobytes() for t in column.filter(whole).to_pylist()])
+        return [next(alone if w else found) for w in whole.to_pylist()]
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
@@ -136,8 +177,11 @@ class Packer:
 
 def _pack(tokenizer: str, path: str | None):
     def pack(batches):
+        import os
+
         from pyspark import TaskContext
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         if path is None:
             import public_tokenizers
 
@@ -153,9 +197,9 @@ def _pack(tokenizer: str, path: str | None):
             return batch_of(_PIECES, *cols)
 
         for b in batches:
-            for part in pieces(b, "text"):
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = ids_of.text(text or "") + b"\0\0\0\0"
+            for part in pieces(b, "text", TEXT_BYTES):
+                for doc, own_ids in zip(part.column("doc_id").to_pylist(), ids_of.texts(part.column("text"))):
+                    ids = own_ids + b"\0\0\0\0"
                     tokens, start = len(ids) // 4, 0
                     for n in cuts(tokens):
                         own = ids[4 * start : 4 * (start + n)]
@@ -174,11 +218,13 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", path: str | No
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit, little-endian).
 
     A document's tokens are its text's ids and an id 0. Tasks pack their own rows, so nothing is shuffled; sequence_id
-    holds the task's number in its upper half. A sequence is padded to CAPACITY unless its length is a power of two. The
-    tokenizer is read on the executors from `path`, or by its name from the installed public tokenizers.
+    holds the task's number in its upper half, so which pieces lie together depends on how the table is dealt. A sequence
+    is padded to CAPACITY unless its length is a power of two. The tokenizer is read on the executors from `path`, or by
+    its name from the installed public tokenizers; the strings of its added tokens become their ids, as it does by itself.
 
-    A null or empty text is the id 0 alone. Null and repeated doc_ids are packed like others, other columns are ignored,
-    and an empty table gives an empty one.
+    Whole texts are packed, however long. A null or empty text is the id 0 alone. Null and repeated doc_ids, equal rows and
+    pieces of equal length are packed like others, in the order of the table; other columns are ignored, and an empty table
+    gives an empty one.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, path), schema)

@@ -11,12 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import batch_of, pieces, stored
 from ._text import U, mix, raw, span_hashes, windows, words
 
-#: Labelled rows of statistics that a list is learnt from, at most; they are drawn by a hash of doc_id.
+#: Labelled rows of statistics that a list is learnt from, at most: those whose doc_id has the least hash.
 MAX_ROWS = 20000
 MAX_RULES, MAX_TERMS = 12, 3
 #: What a rule must reach on the rows it is pruned on: share of low quality, and rows.
@@ -192,10 +192,11 @@ def verdict(rules: list[list[Term]]) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[list[Term]]:
     """Learns from at most `max_rows` labelled rows; what reaches the driver are their numbers, not their texts."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, max_rows / max(1, labels.count()))
-    drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_rows)
-    rows = stats.join(F.broadcast(drawn), "doc_id").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("part"), "quality", *(e().alias(f) for f, e in FEATURES.items()))
-    got = rows.limit(2 * max_rows).toPandas().sort_values("doc_id", kind="stable")
+    drawn = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = stats.join(F.broadcast(drawn), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*COUNTS), *COUNTS))  # of rows that repeat an id
+    rows = rows.withColumn("at", first).where("at = 1")
+    got = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("part"), "quality", *(e().alias(f) for f, e in FEATURES.items())).toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return []
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["quality"].to_numpy() == 0, got["part"].to_numpy() == 0)
@@ -206,8 +207,10 @@ def rated(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataF
 
     Words are runs without 0x20 and 0x09-0x0D. base_failed: under 20 words, or over 30 % of the words in 8-word windows
     that the text holds twice or more. kept is false where base_failed or where a learnt rule holds; `rule` is the
-    number of the first. A null text has no words. Without labels there are no rules. Repeated rows and null ids are
-    rated like others, other columns are ignored, and an empty table gives an empty one.
+    number of the first. Whole texts count, however long. A null text has no words. Without labels there are no rules; a
+    doc_id with several labels counts as the worst, and one with several texts is learnt from by one of them. A value just
+    at a threshold is below it. Repeated rows and null ids are rated like others, other columns are ignored, and an empty
+    table gives an empty one. The same tables, however dealt, learn the same rules.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats = stored(texts.mapInArrow(_statistics, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])), "statistics")

@@ -12,12 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._common import batch_of, pieces
 from ._text import raw, runs, span_hashes
 
-#: Labelled rows that a model is fitted on, at most; they are drawn by a hash of doc_id.
+#: Labelled rows that a model is fitted on, at most: those whose doc_id has the least hash, a text for each.
 MAX_ROWS = 5000
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (5, 6, 7)
@@ -91,10 +91,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most `max_rows` labelled texts. Labels say toxic or not; grades of toxic texts are the terciles of
     how dense the features are that most set toxic texts apart."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, max_rows / max(1, labels.count()))
-    drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    got = rows.mapInArrow(_sample, "toxic int, hashes binary, values binary").limit(2 * max_rows).toArrow()
+    drawn = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # of rows that repeat an id
+    rows = rows.withColumn("at", first).where("at = 1").select("text", "toxic")
+    got = rows.mapInArrow(_sample, "toxic int, hashes binary, values binary").toArrow()
     return fit_sample(
         np.array(got.column("toxic").to_pylist(), np.int64),
         [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")],
@@ -141,7 +142,11 @@ def fit_sample(toxic: np.ndarray, hashes: list[np.ndarray], values: list[np.ndar
     square = np.bincount(column, value**2, minlength=len(names)) / n
     gap = (mean[1] - mean[0]) / np.sqrt(square + 1e-4)
     gap[texts < MIN_TEXTS] = 0
-    best = np.sort(np.argsort(-np.abs(gap), kind="stable")[:MAX_FEATURES])
+    best = np.argsort(-np.abs(gap), kind="stable")[:MAX_FEATURES]
+    best = np.sort(best[texts[best] >= MIN_TEXTS])
+    if not len(best):  # no feature is in texts enough: what is known is the share of toxic ones
+        rate = np.mean(toxic > 0) * np.arange(GRADES - 1, 0, -1) / (GRADES - 1)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.log((1 - rate) / rate))
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     some = place[column] >= 0
@@ -192,9 +197,11 @@ def severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     """One row per document: doc_id, expected_severity (0 to 3), p_toxic, grade (0 to 3) and toxic (p_toxic >= 0.5).
 
     Whole texts are scored. A null text scores 0; a text without words gets the base rate. Labels that are null are not
-    learnt from; with no labels of one of the two kinds the model holds what all labels say, and without any label
-    nothing is toxic. Repeated rows and null ids are scored like others, other columns are ignored, and an empty table
-    gives an empty one.
+    learnt from; with no labels of one of the two kinds the model holds what all labels say, without any label nothing is
+    toxic, and where no feature is in MIN_TEXTS labelled texts the score is their share of toxic ones. A doc_id with
+    several labels counts as the most toxic, and one with several texts is learnt from by one of them. p_toxic of just 0.5
+    is toxic. Repeated rows and null ids are scored like others, other columns are ignored, and an empty table gives an
+    empty one. The same tables, however dealt, fit the same model.
     """
     model = fit(docs, labels, max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, expected_severity double, p_toxic double, grade int")
@@ -212,5 +219,5 @@ def _clean(model: Model):
 
 
 def clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """docs without the rows that `severity` calls toxic; all columns stay."""
+    """docs without the rows that `severity` calls toxic; all columns stay, null texts and an empty table too."""
     return docs.mapInArrow(_clean(fit(docs, labels, max_rows)), docs.schema)
