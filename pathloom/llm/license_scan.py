@@ -1,14 +1,15 @@
 """License notices found by MinHash bands over overlapping windows of words (operator 1).
 
 Templates of LONG shingles or more are looked for by windows of WINDOW shingles of five words, twenty words in all, that
-start at each STEP-th word of a text and at each word of a template. A window's signature has 2 * BANDS rows: the least
-and the greatest of its shingles in BANDS orders, an order being that of the shingle hashes' bits from a bit of its own
-on. A band is such a pair. Where a text holds 0.8 of a template's shingles together, one of its windows has a Jaccard
-similarity of 2/3 or more with the template's window at the same words, and the two share a band with a chance of
-1 - (1 - (2/3)^2)^BANDS = 0.997; a template of two separate windows is missed with 1e-5, one of three with 2e-8. Shorter
-templates are looked for by windows of one shingle, whose one band is the shingle, so they are found for certain.
-
-Bands are looked up in a bitmap of fixed size first, so that only the few windows that may match are written, and then
+start at each STEP-th word of a text and at each word of a template. A window's signature is the least and the greatest of
+its shingles in ORDERS orders, an order being that of the shingle hashes' bits from a bit of its own on, and each of these
+is a band: as a row stands for five words in a row, bands of one row meet by chance rarely enough, and more rows would only
+miss more. Where a text holds 0.8 of a template's shingles together, one of its windows has a Jaccard similarity of 0.6 or
+more with the template's window at the same words (2/3 if the template is long), so they share a band with a chance of
+1 - 0.4^10 = 0.9999 at least. Shorter templates are looked for by windows of one shingle, whose one band is the shingle, so
+they are found for certain.
+
+Bands are looked up in a bitmap of bounded size first, so that hardly any window is written that matches nothing, and then
 joined with the templates' bands. Candidates are verified on whole sets: a template matches where at least `least` of its
 distinct shingles lie in the words around a window. Everything is a DataFrame function.
 """
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._common import spread_join, stored
 
-SHINGLE, WINDOW, STEP, BANDS = 5, 16, 4, 10
-#: Shingles of a template from which a text that holds 0.8 of it has a whole window inside.
+SHINGLE, WINDOW, STEP, ORDERS = 5, 16, 8, 5
+#: Shingles of a template from which a text that holds it has a whole window inside.
 LONG = WINDOW + STEP - 1
-#: Bits by which the orders are apart, and the base-2 logarithm of the bitmap's largest size in bits.
-TURN, MAP_BITS = 5, 23
+#: Bits by which the orders are apart.
+TURN = 5
+#: Bits of the bitmap for each band, the base-2 logarithm of its largest size, and where a band's places in it begin.
+BAND_BITS, MAP_BITS, PLACES = 256, 22, (16, 23, 30)
 #: Bands of templates up to which they are sent to every task; 16 bytes each.
 BROADCAST_BANDS = 1_000_000
 
@@ -70,22 +73,30 @@ def shingles(text: Column) -> Column:
     return _let(words(text), of)
 
 
-def _orders(sh: Column) -> Column:
-    """array<array<long>>: the shingles by the bits from 0, TURN, 2 * TURN, ... on."""
+def _bands(x: Column) -> Column:
+    """array<long>: the least and the greatest of an array in each order."""
 
-    def turned(k: int) -> Column:
-        return F.transform(sh, lambda x: F.shiftleft(x, k * TURN))
+    def both(k: int) -> Column:
+        return _let(F.transform(x, lambda v: F.shiftleft(v, k * TURN)) if k else x, lambda t: F.array(F.array_min(t), F.array_max(t)))
 
-    return F.array(sh, *(turned(k) for k in range(1, BANDS)))
+    return F.flatten(F.array(*(both(k) for k in range(ORDERS))))
 
 
-def _bands(orders: Column, i: Column) -> Column:
-    """array<long>: the bands of the window at i."""
+def _run(sh: Column, i: Column, n: int) -> Column:
+    """The n shingles from i on, or what is left of them; nulls are skipped by all that follows."""
+    return F.array(*(F.get(sh, i + k) for k in range(n)))
 
-    def band(own: Column, k: int) -> Column:
-        return F.xxhash64(F.lit(k), F.array_min(own), F.array_max(own))
 
-    return F.array(*(band(F.slice(F.get(orders, F.lit(k)), i + 1, WINDOW), k) for k in range(BANDS)))
+def windows(sh: Column) -> Column:
+    """array<array<long>>: the bands of the window at each STEP-th shingle, each from the bands of WINDOW / STEP blocks."""
+    starts = F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STEP))
+
+    def joined(blocks: Column, x: Column, i: Column) -> Column:
+        more = [F.get(blocks, i + k) for k in range(1, WINDOW // STEP)]
+        of = lambda f, k: f(F.get(x, F.lit(k)), *(F.get(m, F.lit(k)) for m in more))
+        return F.array(*(of(F.greatest if k % 2 else F.least, k) for k in range(2 * ORDERS)))
+
+    return _let(F.transform(starts, lambda i: _bands(_run(sh, i, STEP))), lambda blocks: F.transform(blocks, lambda x, i: joined(blocks, x, i)))
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -98,12 +109,12 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
 def template_bands(t: DataFrame) -> DataFrame:
     """license, band of the templates' windows."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - WINDOW, F.lit(0)))
-    long = F.flatten(_let(_orders(F.col("sh")), lambda o: F.transform(starts, lambda i: _bands(o, i))))
+    long = F.flatten(F.transform(starts, lambda i: _bands(_run(F.col("sh"), i, WINDOW))))
     return t.select("license", F.explode(F.when(F.size("sh") >= LONG, long).otherwise(F.col("sh"))).alias("band")).distinct()
 
 
-def _place(band: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(band, 64 - bits)
+def _place(band: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(band, at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def scanned(docs: DataFrame, least: float = 0.8, texts: dict[str, str] | None = None) -> DataFrame:
@@ -118,43 +129,49 @@ def scanned(docs: DataFrame, least: float = 0.8, texts: dict[str, str] | None =
     t = stored(templates(docs.sparkSession, texts), "templates")
     wanted = stored(template_bands(t), "bands")
     n = wanted.count()
-    bits = min(MAP_BITS, max(12, (64 * max(n, 1)).bit_length()))
-    # which bits are set, 64 to a number; most of them empty unless there are more than 2^MAP_BITS / 8 bands
-    words = wanted.select(_place(F.col("band"), bits).alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    bits = min(MAP_BITS, max(12, (BAND_BITS * max(n, 1)).bit_length()))
+    places = wanted.select(F.explode(F.array(*(_place(F.col("band"), at, bits) for at in PLACES))).alias("p")).distinct()
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
     held = {r["w"]: r["v"] for r in words.collect()}  # at most 2^(MAP_BITS - 6) numbers
     bitmap = F.from_json(F.lit(json.dumps([held.get(w, 0) for w in range(1 << (bits - 6))])), "array<bigint>")
     sizes = t.agg(F.max(F.size("sh")).alias("most"), F.count_if(F.size("sh") >= LONG).alias("long"), F.count_if(F.size("sh") < LONG).alias("short")).first()
     reach = sizes["most"] or 0
 
     def known(band: Column) -> Column:
-        p = _place(band, bits)
-        return F.getbit(F.get(bitmap, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+        """Whether a template may have the band: for one in 10^5 others, too."""
+
+        def held(at: int) -> Column:
+            p = _place(band, at, bits)
+            return F.getbit(F.get(bitmap, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def hit(i: Column, bands: Column) -> Column:
-        return F.struct(i.cast("int").alias("i"), F.filter(bands, known).alias("bands"))
+        return held(PLACES[0]) & held(PLACES[1]) & held(PLACES[2])
 
     def hits(sh: Column) -> Column:
         """Windows with a band that a template may have."""
+
+        def told(bands: Column, i: Column) -> Column:
+            return _let(F.filter(bands, known), lambda b: F.when(F.size(b) > 0, F.struct(i.cast("int").alias("i"), b.alias("bands"))))
+
         none = F.array().cast("array<struct<i:int,bands:array<bigint>>>")
-        each = F.filter(F.transform(sh, lambda x, i: F.when(known(x), F.struct(i.alias("i"), F.array(x).alias("bands")))), lambda x: x.isNotNull()) if sizes["short"] else none
-        starts = F.sequence(F.lit(0), F.size(sh) - 1, F.lit(STEP))
-        wide = _let(_orders(sh), lambda o: F.filter(F.transform(starts, lambda i: hit(i, _bands(o, i))), lambda x: F.size(x["bands"]) > 0)) if sizes["long"] else none
-        return F.when(F.size(sh) > 0, F.concat(each, wide))
+        each = F.transform(sh, lambda x, i: F.when(known(x), F.struct(i.alias("i"), F.array(x).alias("bands")))) if sizes["short"] else none
+        wide = F.transform(windows(sh), lambda b, i: told(b, i * STEP)) if sizes["long"] else none
+        return F.when(F.size(sh) > 0, F.filter(F.concat(each, wide), lambda x: x.isNotNull()))
 
     found = _let(shingles(F.col("text")), lambda sh: F.struct(sh.alias("sh"), hits(sh).alias("hits")))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("x")).where(F.size("x.hits") > 0)
     rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.*"), "hits")  # of few documents, read twice
-    windows = rows.select("row", F.explode("hits").alias("h")).select("row", "h.i", F.explode("h.bands").alias("band"))
+    seen = rows.select("row", F.explode("hits").alias("h")).select("row", "h.i", F.explode("h.bands").alias("band"))
     if n <= BROADCAST_BANDS:
-        windows, t = windows.join(F.broadcast(wanted), "band"), F.broadcast(t)  # a template has no more shingles than bands
+        seen, t = seen.join(F.broadcast(wanted), "band"), F.broadcast(t)  # a template has no more shingles than bands
     else:
-        windows = stored(windows, "windows")
-        windows = spread_join(windows, wanted, ["band"], windows.groupBy("band").agg(F.count(F.lit(1)).alias("n")), windows.count())
-    places = windows.groupBy("row", "license").agg(F.sort_array(F.collect_set("i")).alias("places"))
+        seen = stored(seen, "windows")
+        seen = spread_join(seen, wanted, ["band"], seen.groupBy("band").agg(F.count(F.lit(1)).alias("n")), seen.count())
+    places = seen.groupBy("row", "license").agg(F.sort_array(F.collect_set("i")).alias("places"))
     pairs = places.join(rows.select("row", "doc_id", F.col("sh").alias("own")), "row").join(t, "license")
 
     def share(i: Column) -> Column:
-        around = F.slice(F.col("own"), F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + WINDOW)
+        at = F.sequence(F.greatest(i - reach, F.lit(0)), F.least(i + reach + WINDOW, F.size("own")) - 1)
+        around = F.transform(at, lambda j: F.get(F.col("own"), j))
         return F.struct((F.size(F.array_intersect("wanted", around)) / F.size("wanted")).alias("share"), i.alias("i"))
 
     pairs = pairs.withColumn("wanted", F.array_distinct("sh"))
