@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 HOT_ROWS, HOT_KEYS = 2_000, 100_000
 #: Equal rows that a task makes again.
 COPIES = 10_000
+#: Rows of a file, about, where a table is known to be small beside the data.
+FILE_ROWS = 100_000
 
 _marked: set[str] = set()
 
@@ -34,11 +36,12 @@ def root(spark: SparkSession) -> str:
     return out
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing. Of a table
+    with no more than `rows` rows only so many files are written as these fill, however many tasks find them."""
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.repartition(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +61,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFra
     limit = max(HOT_ROWS, rows // HOT_KEYS)
     if rows <= limit:
         return left.join(right, on)
-    hot = stored(sizes.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_tasks")), "hot")
+    hot = stored(sizes.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_tasks")), "hot", HOT_KEYS)
     if hot.isEmpty():
         return left.join(right, on)
     hot = F.broadcast(hot)
