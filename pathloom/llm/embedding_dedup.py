@@ -336,14 +336,15 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "copies", "label", "dim", "vec_key", "low", "vec")
     classes = stored(classes.mapInArrow(_encoded(bits * n_runs), "node long, copies long, label long, dim int, vec_key binary, low long, vec binary, code binary, planes binary, numbers binary"), "classes")
     keys = classes.select("node", "label", "dim", "code").mapInArrow(_keys(bits, n_runs), "node long, run int, key long")
-    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = stored(spread_join(keys, shared, ["key"], shared, total * n_runs).withColumnRenamed("n", "size"), "members")
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared", total * n_runs // 2)
+    members = stored(spread_join(keys, shared, ["key"], shared, total * n_runs).withColumnRenamed("n", "size"), "members", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     few = members.where(F.col("size") <= FEW).join(classes.select("node", "label", "dim", "code", "planes", "numbers"), "node")
     few = few.drop("size").repartition("key").sortWithinPartitions("key")
-    pairs = stored(few.mapInArrow(_near_pairs(limit, bits, n_runs), "a long, b long"), "pairs")
+    pairs = stored(few.mapInArrow(_near_pairs(limit, bits, n_runs), "a long, b long"), "pairs", members.count() * FEW // 2)
+    n_pairs = pairs.count()
     for c in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("copies").alias(f"copies_{c}"), F.col("vec").alias(f"vec_{c}"), *(["dim"] if c == "a" else [])), c)
-    links = stored(pairs.select("dim", "a", "b", "copies_a", "copies_b", "vec_a", "vec_b").mapInArrow(_exact(limit), "a long, b long, copies_a long, copies_b long"), "links")
+    links = stored(pairs.select("dim", "a", "b", "copies_a", "copies_b", "vec_a", "vec_b").mapInArrow(_exact(limit), "a long, b long, copies_a long, copies_b long"), "links", n_pairs)
     found = links.select(F.col("a").alias("node"), F.col("copies_b").alias("n"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("copies_a").alias("n"), F.col("a").alias("to")))
     many = members.where(F.col("size") > FEW)
     if not many.isEmpty():
@@ -353,11 +354,11 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
         blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = found.unionByName(stored(blocks.mapInArrow(_block_links(limit, bits, n_runs), "node long, n long, to long"), "links"))
     n = found.groupBy("node").agg(F.sum("n").alias("n"))
-    part = stored(components(found.select(F.col("node").alias("u"), F.col("to").alias("v"))).join(classes.select("node", "low"), "node"), "parts")
+    part = stored(components(found.select(F.col("node").alias("u"), F.col("to").alias("v"))).join(classes.select("node", "low"), "node"), "parts", total)
     lowest = part.groupBy("component").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n"))
     part = spread_join(part.select("node", "component"), lowest, ["component"], lowest, total, ["node"]).select("node", "lowest")
     per_class = classes.select("label", "vec_key", "node", "low", "copies").join(n, "node", "left").join(part, "node", "left")
-    per_class = stored(per_class.select("label", "vec_key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("lowest", "low").alias("component")), "per-class")
+    per_class = stored(per_class.select("label", "vec_key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("lowest", "low").alias("component")), "per-class", total)
     own = spread_join(known.select("vec_id", "label", "vec_key"), per_class.drop("copies"), ["label", "vec_key"], per_class.select("label", "vec_key", F.col("copies").alias("n")), total, ["vec_id"])
     out = own.select("vec_id", "n", "component").unionByName(coded.where("vec_key is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component")))
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))

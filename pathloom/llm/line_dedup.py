@@ -84,7 +84,7 @@ def _without_first(places: DataFrame, groups: DataFrame, on: list[str], at: str,
     """(_id, _text, name): of each document the places of repeated pieces but for the first place of each piece, by _id,
     then _text, then place, and what is the `same` as that one. groups has the pieces found n > 1 times and their least _id."""
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = stored(spread_join(places, groups, on, groups, max(total, 1) * 10, ["_id", "_text", at]), "repeated")
+    rows = stored(spread_join(places, groups, on, groups, max(total, 1) * 10, ["_id", "_text", at]), "repeated", total)
     kept = rows.where("_id = first").groupBy(*on).agg(F.min(F.struct("_text", at)).alias("kept"))
     rows = spread_join(rows, kept, on, groups.select(*on, "n"), total, ["_id", "_text", at])
     is_kept = (F.col("_id") == F.col("first")) & (F.col("_text") == F.col("kept._text")) & same(F.col(at), F.col("kept")[at])

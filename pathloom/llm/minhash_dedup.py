@@ -191,11 +191,12 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
     classes = classes.select("set_key", "low", "copies", F.monotonically_increasing_id().alias("node"), "n_shingles", "sig")
     classes = stored(classes.mapInArrow(_banded, f"set_key binary, low {kind}, copies long, node long, n_shingles long, sig binary, bands array<long>"), "classes")
     rows = classes.select("node", F.explode("bands").alias("key"))
-    n_rows = classes.count() * (REGISTERS // BAND)
-    shared = stored(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    buckets = stored(spread_join(rows, shared, ["key"], shared, n_rows).withColumnRenamed("n", "size"), "buckets")
+    n_sets = classes.count()
+    n_rows = n_sets * (REGISTERS // BAND)
+    shared = stored(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared", n_rows // 2)
+    buckets = stored(spread_join(rows, shared, ["key"], shared, n_rows).withColumnRenamed("n", "size"), "buckets", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     n_rows = buckets.count()
-    members = stored(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("low", "set_key", "node"), "members")
+    members = stored(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("low", "set_key", "node"), "members", min(n_sets, n_rows))
     # of rows that share an id, those with another set find no member
     lows = members.select(F.col("low").alias("id")).distinct().hint("shuffle_merge")
     found = texts.join(lows, "id", "left_semi").mapInArrow(_sets, "set_key binary, items array<long>").groupBy("set_key").agg(F.any_value("items").alias("items"))
@@ -212,29 +213,29 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
 
     def confirm(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
         """Links among the pairs. Sets are compared by functions of the engine, one row at a time, however long they are."""
-        pairs = stored(pairs, name)
+        pairs = stored(pairs, name, None if estimated else n_rows)
         if not estimated:
-            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near(limit), "a long, b long"), name)
+            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near(limit), "a long, b long"), name, pairs.count())
         both, n_a, n_b = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a").cast("long"), F.size("items_b").cast("long")
         out = attached(pairs, sets).where(den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)).where(den * both >= num * (n_a + n_b - both))
-        return stored(out.select("a", "b"), f"{name}-links")
+        return stored(out.select("a", "b"), f"{name}-links", pairs.count())
 
     def open_buckets(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
         own = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return stored(spread_join(own, several, ["key"], shared, n_rows, ["node"]), "open")
+        return stored(spread_join(own, several, ["key"], shared, n_rows, ["node"]), "open", n_rows)
 
     star = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(star, "star")
-    found = components(links.toDF("u", "v"))
+    found = components(links.toDF("u", "v"), links.count())
     left = open_buckets(found)
     if not left.isEmpty():
         pick = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(2)), "node", "component")).alias("p"))
         pick = pick.select("key", F.col("p.node").alias("a"), F.col("p.component").alias("other"))
         again = spread_join(left, pick, ["key"], shared, n_rows, ["node"]).where("component <> other")
         links = links.unionByName(confirm(again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "again"))
-        found = components(links.toDF("u", "v"))
+        found = components(links.toDF("u", "v"), links.count())
         left = open_buckets(found)
     if not left.isEmpty():
         chunks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -243,12 +244,12 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
         blocks = blocks.select("key", "i", "j", "chunk", "node", "n_shingles", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = blocks.mapInArrow(_block_pairs(limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(confirm(pairs, "blocks", True))
-        found = components(links.toDF("u", "v"))
-    own = stored(found.join(classes.select("node", "low"), "node"), "found")
+        found = components(links.toDF("u", "v"), links.count())
+    own = stored(found.join(classes.select("node", "low"), "node"), "found", n_sets)
     lows = own.groupBy("component").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n"))
     named = spread_join(own.select("node", "component"), lows, ["component"], lows, own.count(), ["node"]).select("node", "lowest")
     per_set = classes.select("set_key", "copies", "low", "node").join(named, "node", "left")
-    return f, stored(per_set.select("set_key", "copies", F.coalesce("lowest", "low").alias("component")), "components")
+    return f, stored(per_set.select("set_key", "copies", F.coalesce("lowest", "low").alias("component")), "components", n_sets)
 
 
 def _rated(f: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,8 +287,8 @@ def deduplicated(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), hashes[0].alias("h"), hashes[1].alias("g"))  # no column of docs can clash
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), hashes[0].alias("h"), hashes[1].alias("g"))
     f, sets = _grouped(docs.select(key.alias("id"), "text"), num, den)
-    rated = stored(_rated(f, sets).select("id.h", "id.g", (F.col("component").isNotNull() & (F.col("id") != F.col("component"))).alias("gone")), "rated")
-    twice = stored(rated.where("not gone").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "twice")
+    rated = stored(_rated(f, sets).select("id.h", "id.g", (F.col("component").isNotNull() & (F.col("id") != F.col("component"))).alias("gone")), "rated", f.count())
+    twice = stored(rated.where("not gone").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "twice", f.count())
     left = own.join(rated.where("gone").select("h", "g").distinct(), ["h", "g"], "left_anti")
     if not twice.isEmpty():
         once = left.join(twice, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.any_value("row").alias("row"))

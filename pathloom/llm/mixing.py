@@ -72,7 +72,7 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], share: float, most:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = t.withColumn("full", F.floor(ratio))
     t = t.withColumn("left", F.col("target") - F.col("full") * F.col("source_size")).withColumnRenamed("source", "_source")
-    state = stored(t.withColumn("prefix", F.lit(0).cast("long")), "targets")
+    state = stored(t.withColumn("prefix", F.lit(0).cast("long")), "targets", 1)
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         inside = rows
@@ -86,7 +86,7 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], share: float, most:
         joined = state.drop("words").join(ends, F.col("_source").eqNullSafe(F.col("source")), "left")
         # where no bucket exceeds the budget, all places lie under the threshold
         prefix, left = F.coalesce("b.bucket", F.lit(1 << (BITS * (level + 1)))), F.col("left") - F.coalesce("b.under", F.lit(0))
-        state = stored(joined.select("_source", "source_size", "target", "full", left.alias("left"), prefix.alias("prefix"), F.col("b.words").alias("words")), "thresholds")
+        state = stored(joined.select("_source", "source_size", "target", "full", left.alias("left"), prefix.alias("prefix"), F.col("b.words").alias("words")), "thresholds", 1)
     nearer = F.coalesce(2 * F.col("left") >= F.col("words"), F.lit(False)) & (F.col("left") > 0)
     return state.select("_source", "source_size", "target", "full", (F.col("prefix") + nearer.cast("long")).alias("cut"))
 
@@ -113,7 +113,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     rows = _sizes(docs)
     cuts = thresholds(rows, weights, share, most).drop("source_size", "target")
     twice = rows.where("_copy > 0").select("h", "g").distinct()
-    equal = stored(_times(rows.join(twice, ["h", "g"], "left_semi"), cuts, most).groupBy("h", "g").agg(F.sum("times").alias("times")), "equal-rows")
+    equal = stored(_times(rows.join(twice, ["h", "g"], "left_semi"), cuts, most).groupBy("h", "g").agg(F.sum("times").alias("times")), "equal-rows", rows.count())
     h, g = row_hashes(docs)
     # the columns travel as one, so that none can clash
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", h.alias("h"), g.alias("g"), F.lit(0).cast("long").alias("_copy"))
