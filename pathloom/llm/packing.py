@@ -23,7 +23,7 @@ CAPACITY = 1024
 #: Tokens of the shortest piece that a document is cut into besides its tail.
 LEAST = 64
 #: Words whose ids a task keeps, about, and bytes of text that it encodes at once.
-CACHE_WORDS, TEXT_BYTES = 300_000, 4 << 20
+CACHE_WORDS, TEXT_BYTES = 600_000, 4 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -66,15 +66,15 @@ class WordIds:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: pa.Array) -> None:
-        """Adds words that it does not hold. Those that are a space and no other white space are encoded end to end, many
-        at once, and told apart by the tokens that begin with a space."""
-        plain = pc.match_substring_regex(words, f"^ {_WHITE.replace('[', '[^', 1)}+$")
+        """Adds words that it does not hold. Those that begin with a space and have no white space behind it or at their
+        end are encoded end to end, many at once, and told apart by the tokens that begin with a space."""
+        black = _WHITE.replace("[", "[^", 1)
+        plain = pc.match_substring_regex(words, f"(?s)^ {black}(?:.*{black})?$")
         words = pa.concat_arrays([words.filter(plain), words.filter(pc.invert(plain))])
         names, n = words.to_pylist(), pc.sum(plain).as_py() or 0
         flat, ends, last = [self._flat], [self._ends], self._ends[-1]
-        for at in range(0, n, 2000):
-            part = names[at : min(at + 2000, n)]
-            ids = self._encoded(["".join(part)])[0]
+        parts = [names[at : min(at + 100, n)] for at in range(0, n, 100)]
+        for part, ids in zip(parts, self._encoded(["".join(part) for part in parts])):
             first = np.flatnonzero(self._opens[ids])
             if len(first) != len(part):
                 each = self._encoded(part)
