@@ -8,7 +8,7 @@ from pyspark.sql.types import MapType
 
 from ..plans.scratch import clear as clear_scratch, numbered, root as scratch_root, spread_join, stored
 
-__all__ = ["batch_of", "clear_scratch", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table"]
+__all__ = ["batch_of", "clear_scratch", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table", "tidy"]
 
 #: Bytes of text that a kernel turns into arrays at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
@@ -40,5 +40,24 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
         at = to
 
 
+def tidy(kernel):
+    """The kernel, giving the memory that it has used back to the system at its end: workers live on between stages."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

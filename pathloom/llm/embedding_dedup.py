@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import batch_of, spread_join, stored
+from ._common import batch_of, spread_join, stored, tidy
 from ._components import components
 from ._text import U, mix
 
@@ -328,19 +328,19 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     own, each with its own links. Other columns are ignored; an empty table gives an empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    coded = stored(rows.mapInArrow(_vectors, "vec_id long, label long, dim int, vec_key binary, vec binary"), "vectors")
+    coded = stored(rows.mapInArrow(tidy(_vectors), "vec_id long, label long, dim int, vec_key binary, vec binary"), "vectors")
     total = coded.count()
     bits, n_runs = plan(total, limit)
     known = coded.where("vec_key is not null")
     classes = known.groupBy("label", "dim", "vec_key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "copies", "label", "dim", "vec_key", "low", "vec")
-    classes = stored(classes.mapInArrow(_encoded(bits * n_runs), "node long, copies long, label long, dim int, vec_key binary, low long, vec binary, code binary, planes binary, numbers binary"), "classes")
+    classes = stored(classes.mapInArrow(tidy(_encoded(bits * n_runs)), "node long, copies long, label long, dim int, vec_key binary, low long, vec binary, code binary, planes binary, numbers binary"), "classes")
     keys = classes.select("node", "label", "dim", "code").mapInArrow(_keys(bits, n_runs), "node long, run int, key long")
     shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared", total * n_runs // 2)
     members = stored(spread_join(keys, shared, ["key"], shared, total * n_runs).withColumnRenamed("n", "size"), "members", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     few = members.where(F.col("size") <= FEW).join(classes.select("node", "label", "dim", "code", "planes", "numbers"), "node")
     few = few.drop("size").repartition("key").sortWithinPartitions("key")
-    pairs = stored(few.mapInArrow(_near_pairs(limit, bits, n_runs), "a long, b long"), "pairs", members.count() * FEW // 2)
+    pairs = stored(few.mapInArrow(tidy(_near_pairs(limit, bits, n_runs)), "a long, b long"), "pairs", members.count() * FEW // 2)
     n_pairs = pairs.count()
     for c in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("copies").alias(f"copies_{c}"), F.col("vec").alias(f"vec_{c}"), *(["dim"] if c == "a" else [])), c)
@@ -352,7 +352,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
         blocks = many.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         blocks = blocks.select("key", "run", "node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk").join(classes.select("node", "copies", "label", "dim", "vec", "code"), "node")
         blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = found.unionByName(stored(blocks.mapInArrow(_block_links(limit, bits, n_runs), "node long, n long, to long"), "links"))
+        found = found.unionByName(stored(blocks.mapInArrow(tidy(_block_links(limit, bits, n_runs)), "node long, n long, to long"), "links"))
     n = found.groupBy("node").agg(F.sum("n").alias("n"))
     part = stored(components(found.select(F.col("node").alias("u"), F.col("to").alias("v"))).join(classes.select("node", "low"), "node"), "parts", total)
     lowest = part.groupBy("component").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import batch_of, pieces
+from ._common import batch_of, pieces, tidy
 from ._text import U, mix
 
 #: Training texts at most, of each language an equal share, those with the least hash; and so languages at most, those of
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     h = F.xxhash64("doc_id", "text")
     rows = known.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(space)) < F.element_at(shares, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    got = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text").mapInArrow(_sample, "lang string, bits binary").toArrow()
+    got = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text").mapInArrow(tidy(_sample), "lang string, bits binary").toArrow()
     sets = [np.flatnonzero(np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))) for b in got.column("bits")]
     return fit_cells(sets, got.column("lang").to_pylist())
 
@@ -152,7 +152,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     nothing was learnt; of languages with one score the first by name is taken. Null and repeated doc_ids are scored like
     others, other columns are ignored, and an empty table gives an empty one.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_predicted(model)), "doc_id long, lang_pred string, score double")
 
 
 def held_out() -> "F.Column":

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import batch_of, pieces, row_hashes, spread_join, stored
+from ._common import batch_of, pieces, row_hashes, spread_join, stored, tidy
 from ._components import components
 from ._text import U, mix, shingle_sets
 
@@ -185,11 +185,11 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
     component) of each set, the component being the smallest id of all sets that links join. Rows without an id, and sets
     without shingles, are in the first only."""
     limit, kind = num / den, texts.schema["id"].dataType.simpleString()
-    f = stored(texts.mapInArrow(_features, f"id {kind}, n_shingles long, set_key binary, sig binary"), "features")
+    f = stored(texts.mapInArrow(tidy(_features), f"id {kind}, n_shingles long, set_key binary, sig binary"), "features")
     known = f.where("id is not null and set_key is not null")
     classes = known.groupBy("set_key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
     classes = classes.select("set_key", "low", "copies", F.monotonically_increasing_id().alias("node"), "n_shingles", "sig")
-    classes = stored(classes.mapInArrow(_banded, f"set_key binary, low {kind}, copies long, node long, n_shingles long, sig binary, bands array<long>"), "classes")
+    classes = stored(classes.mapInArrow(tidy(_banded), f"set_key binary, low {kind}, copies long, node long, n_shingles long, sig binary, bands array<long>"), "classes")
     rows = classes.select("node", F.explode("bands").alias("key"))
     n_sets = classes.count()
     n_rows = n_sets * (REGISTERS // BAND)
@@ -199,7 +199,7 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
     members = stored(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("low", "set_key", "node"), "members", min(n_sets, n_rows))
     # of rows that share an id, those with another set find no member
     lows = members.select(F.col("low").alias("id")).distinct().hint("shuffle_merge")
-    found = texts.join(lows, "id", "left_semi").mapInArrow(_sets, "set_key binary, items array<long>").groupBy("set_key").agg(F.any_value("items").alias("items"))
+    found = texts.join(lows, "id", "left_semi").mapInArrow(tidy(_sets), "set_key binary, items array<long>").groupBy("set_key").agg(F.any_value("items").alias("items"))
     sets = stored(found.join(members, "set_key").select("node", "items"), "sets")
     sigs = classes.select("node", F.col("n_shingles").alias("n"), "sig")
 
@@ -215,7 +215,7 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
         """Links among the pairs. Sets are compared by functions of the engine, one row at a time, however long they are."""
         pairs = stored(pairs, name, None if estimated else n_rows)
         if not estimated:
-            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near(limit), "a long, b long"), name, pairs.count())
+            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidy(_near(limit)), "a long, b long"), name, pairs.count())
         both, n_a, n_b = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a").cast("long"), F.size("items_b").cast("long")
         out = attached(pairs, sets).where(den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)).where(den * both >= num * (n_a + n_b - both))
         return stored(out.select("a", "b"), f"{name}-links", pairs.count())

@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import batch_of, pieces
+from ._common import batch_of, pieces, tidy
 
 CAPACITY = 1024
 #: Tokens of the shortest piece that a document is cut into besides its tail.
 LEAST = 64
 #: Words whose ids a task keeps, about, and bytes of text that it encodes at once.
-CACHE_WORDS, TEXT_BYTES = 600_000, 4 << 20
+CACHE_WORDS, TEXT_BYTES = 300_000, 2 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -227,4 +227,4 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", path: str | No
     gives an empty one.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, path), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_pack(tokenizer, path)), schema)

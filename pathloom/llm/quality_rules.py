@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import batch_of, pieces, stored
+from ._common import batch_of, pieces, stored, tidy
 from ._text import U, mix, raw, span_hashes, windows, words
 
 #: Labelled rows of statistics that a list is learnt from, at most: those whose doc_id has the least hash.
@@ -213,7 +213,7 @@ def rated(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataF
     table gives an empty one. The same tables, however dealt, learn the same rules.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = stored(texts.mapInArrow(_statistics, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])), "statistics")
+    stats = stored(texts.mapInArrow(tidy(_statistics), ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])), "statistics")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = stats.withColumn("rule", verdict(fit(stats, labels, max_rows))).withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import batch_of, pieces
+from ._common import batch_of, pieces, tidy
 from ._text import raw, runs, span_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose doc_id has the least hash, a text for each.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # of rows that repeat an id
     rows = rows.withColumn("at", first).where("at = 1").select("text", "toxic")
-    got = rows.mapInArrow(_sample, "toxic int, hashes binary, values binary").toArrow()
+    got = rows.mapInArrow(tidy(_sample), "toxic int, hashes binary, values binary").toArrow()
     return fit_sample(
         np.array(got.column("toxic").to_pylist(), np.int64),
         [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")],
@@ -204,7 +204,7 @@ def severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     empty one. The same tables, however dealt, fit the same model.
     """
     model = fit(docs, labels, max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, expected_severity double, p_toxic double, grade int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scored(model)), "doc_id long, expected_severity double, p_toxic double, grade int")
     return rows.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
@@ -220,4 +220,4 @@ def _clean(model: Model):
 
 def clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without the rows that `severity` calls toxic; all columns stay, null texts and an empty table too."""
-    return docs.mapInArrow(_clean(fit(docs, labels, max_rows)), docs.schema)
+    return docs.mapInArrow(tidy(_clean(fit(docs, labels, max_rows))), docs.schema)
