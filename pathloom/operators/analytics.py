@@ -172,3 +172,14 @@ def asof(keys: DataFrame, runs: DataFrame) -> DataFrame:
     u = u.unionByName(runs.select("source", F.col("run_begin").alias("at"), F.lit(0).alias("kind"), F.col("move").cast("long").alias("move")))
     w = Window.partitionBy("source").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return u.withColumn("found", F.last("move", ignorenulls=True).over(w)).where("kind = 1").select("source", F.col("at").alias("target"), F.col("found").alias("move"))
+
+
+def applied(df: DataFrame, by: str, value: str, fun, kind: str = "double") -> DataFrame:
+    """(by, value): any function of a group's values, a pandas series, in the group's own task. For sums and extremes use
+    aggregates, which begin before the groups are brought together."""
+    import pandas as pd
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: [part[by].iloc[0]], "value": [fun(part[value])]})
+
+    return df.select(by, value).groupBy(by).applyInPandas(one, f"{by} {df.schema[by].dataType.simpleString()}, value {kind}")

@@ -12,6 +12,10 @@ from . import grid as G
 from .paths import WIDTH, _octile
 
 
+#: Motion primitives that may be sent to every task.
+MOST_PRIMITIVES = 10_000
+
+
 def unpacked(arcs: DataFrame) -> DataFrame:
     """(source, target, n_arcs, cost): each arc of a hierarchy taken apart at its middle nodes until none is left; the
     cost is summed again over the original arcs."""
@@ -56,7 +60,11 @@ def relaxed_costs(problems: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def strong_components(arcs: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of those that reach each other, in a graph small enough to be broadcast."""
+    """(node, component): the smallest node of those that reach each other. A graph too large for one task is done in
+    rounds over tables."""
+    arcs = search.scratch(arcs.select("source", "target").distinct())
+    if not search.few(arcs):
+        return _strong_by_rounds(arcs)
     s, t, _ = search.collected(arcs.select("source", "target", F.lit(0).alias("cost")))
     out: dict[int, list[int]] = {}
     for a, b in zip(s, t):
@@ -90,9 +98,44 @@ def strong_components(arcs: DataFrame) -> DataFrame:
     return arcs.sparkSession.createDataFrame(pd.DataFrame({"node": list(label), "component": list(label.values())}, dtype="int64"), "node long, component long")
 
 
+def _reached(labels: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, label) from labels (node, label): the least label that leads to a node over the arcs, where one does."""
+    best = frontier = search.scratch(labels)
+    while True:
+        offers = frontier.join(arcs.withColumnRenamed("source", "node"), "node").groupBy("target").agg(F.min("label").alias("offer"))
+        better = offers.join(best.withColumnRenamed("node", "target"), "target", "left").where("label is null or offer < label")
+        frontier = search.scratch(better.select(F.col("target").alias("node"), F.col("offer").alias("label")))
+        if frontier.isEmpty():
+            return best
+        best = search.scratch(best.unionByName(frontier).groupBy("node").agg(F.min("label").alias("label")))
+
+
+def _strong_by_rounds(arcs: DataFrame) -> DataFrame:
+    """Nodes without in- or out-arcs are components of their own and go. Of the others each takes the least node that leads
+    to it; those of that colour that lead back to its node are a component, and what is left is coloured again."""
+    done, left = None, arcs.where("source <> target")
+    every = arcs.select(F.col("source").alias("node")).unionByName(arcs.select(F.col("target").alias("node"))).distinct()
+    while not left.isEmpty():
+        ends = left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+        left = search.scratch(left.join(ends.withColumnRenamed("node", "source"), "source", "left_semi").join(ends.withColumnRenamed("node", "target"), "target", "left_semi"))
+        nodes = left.select(F.col("source").alias("node")).unionByName(left.select(F.col("target").alias("node"))).distinct()
+        colour = _reached(nodes.select("node", F.col("node").alias("label")), left)
+        own = left.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target").where("a = b")
+        back = own.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        found = _reached(colour.where("node = label"), search.scratch(back)).select("node", F.col("label").alias("component"))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        left = search.scratch(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"))
+    if done is None:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def lattice_arcs(cells: DataFrame, primitives: DataFrame) -> DataFrame:
     """(x, y, o, x2, y2, o2, cost) over primitives (o, o2, dx, dy, cost, swept array<struct<dx,dy>>): moves none of
     whose swept cells is blocked. One aggregate counts the open ones of each move."""
+    if primitives.limit(MOST_PRIMITIVES + 1).count() > MOST_PRIMITIVES:
+        raise ValueError(f"more than {MOST_PRIMITIVES} primitives")
     nodes = cells.crossJoin(F.broadcast(primitives.withColumn("pid", F.xxhash64("o", "o2", "dx", "dy"))))
     swept = nodes.select("x", "y", "pid", F.explode("swept").alias("s")).select("x", "y", "pid", (F.col("x") + F.col("s.dx")).alias("sx"), (F.col("y") + F.col("s.dy")).alias("sy"))
     blocked = swept.join(cells.select(F.col("x").alias("sx"), F.col("y").alias("sy")), ["sx", "sy"], "left_anti").select("x", "y", "pid").distinct()
@@ -101,12 +144,10 @@ def lattice_arcs(cells: DataFrame, primitives: DataFrame) -> DataFrame:
 
 
 def connected_to(points: DataFrame, subgoals: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(source, subgoal, cost): subgoals that a point reaches at its octile distance."""
-    dist = search.single_source(arcs, points.select("source").distinct())
-    from ..functions.scalars import octile
+    """(source, subgoal, cost): subgoals that a point reaches at its octile distance, found without going further."""
+    from .hierarchies import freespace
 
-    straight = octile(F.col("source") % WIDTH, F.expr(f"source div {WIDTH}"), F.col("node") % WIDTH, F.expr(f"node div {WIDTH}"))
-    return dist.where(F.col("cost") == straight).join(subgoals.select(F.col("source").alias("node")), "node", "left_semi").select("source", F.col("node").alias("subgoal"), "cost")
+    return freespace(arcs, points).join(subgoals.select(F.col("source").alias("node")), "node", "left_semi").select("source", F.col("node").alias("subgoal"), "cost")
 
 
 def unit_arcs(cells: DataFrame) -> DataFrame:

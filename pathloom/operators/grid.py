@@ -208,3 +208,10 @@ def picture(cells: DataFrame, width: int) -> DataFrame:
     xs = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
     rows = cells.groupBy("y").agg(F.collect_set("x").alias("xs"))
     return rows.select("y", F.array_join(F.transform(xs, lambda i: F.when(F.array_contains("xs", i), F.lit(".")).otherwise(F.lit("@"))), "").alias("row"))
+
+
+def ranked(nodes: DataFrame) -> DataFrame:
+    """(node, rank): whole numbers from 0 in the order of the nodes, which are counted by ranges."""
+    from .analytics import running_count
+
+    return running_count(nodes, "node", F.lit(True), "n", 1 << 18).select("node", (F.col("n") - 1).alias("rank"))

@@ -98,8 +98,12 @@ def mesh_paths(polygons: DataFrame, pairs: DataFrame, corners: DataFrame, proble
     if len(rows) > BROADCAST_POLYGONS:
         raise ValueError(f"more than {BROADCAST_POLYGONS} polygons")
     rows = sorted(rows, key=lambda r: r["pid"])
+    limit = 20 * BROADCAST_POLYGONS
+    ends, marks = pairs.select("a", "b").distinct().limit(limit + 1).collect(), corners.select("x", "y").limit(limit + 1).collect()
+    if max(len(ends), len(marks)) > limit:
+        raise ValueError(f"more than {limit} shared edges or corners")
     place = {r["pid"]: i for i, r in enumerate(rows)}
-    parts = ([[(float(v["x"]), float(v["y"])) for v in r["points"]] for r in rows], [(place[a], place[b]) for a, b in pairs.select("a", "b").distinct().collect()], [(float(x), float(y)) for x, y in corners.select("x", "y").collect()])
+    parts = ([[(float(v["x"]), float(v["y"])) for v in r["points"]] for r in rows], [(place[a], place[b]) for a, b in ends], [(float(x), float(y)) for x, y in marks])
     held = polygons.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,4 +138,4 @@ def classified(points: DataFrame, polygons: DataFrame, bin_width: float = 4.0) -
 def from_boxes(boxes: DataFrame) -> DataFrame:
     """(pid, points) of rectangles (x1, y1, x2, y2)."""
     at = lambda a, b: F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    return boxes.select((F.col("y1") * (1 << 16) + F.col("x1")).alias("pid"), F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2")).alias("points"))
+    return boxes.select((F.col("y1") * (1 << 31) + F.col("x1")).alias("pid"), F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2")).alias("points"))

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans import search
 from . import grid as G
 
-WIDTH = 1 << 16
+WIDTH = 1 << 31
 
 
 def numbered(cells: DataFrame, cut_corners: bool = False) -> DataFrame:
     """(source, target, cost): arcs with cells numbered y * WIDTH + x."""
     a = G.arcs(cells, cut_corners=cut_corners)
-    return a.select((F.col("y") * WIDTH + F.col("x")).alias("source"), (F.col("y2") * WIDTH + F.col("x2")).alias("target"), "cost")
+    return a.select(node("x", "y").alias("source"), node("x2", "y2").alias("target"), "cost")
 
 
 def node(x: str, y: str):
+    """A cell's number; coordinates are whole numbers from 0 to 2^31 - 1."""
     return F.col(y) * WIDTH + F.col(x)
 
 
@@ -34,8 +35,10 @@ def _octile(target: int, straight: int = G.STRAIGHT, diagonal: int = G.DIAGONAL)
 def solved(problems: DataFrame, arcs: DataFrame, method: str = "astar", scale: int = 1) -> DataFrame:
     """problems (id, source, target) with cost and, of a search, the path and the nodes expanded.
 
-    Methods: astar, dijkstra, bidirectional. Pairs in different components are not searched: their cost is null. A
-    problem whose start is its target costs 0."""
+    Methods: astar, dijkstra, bidirectional; astar multiplies its octile estimate by `scale`, and costs are the shortest
+    while no arc is cheaper than that. Pairs in different components are not searched: their cost is null. A problem whose
+    start is its target costs 0. Graphs too large to be sent to every task are searched in rounds over tables from each
+    start, and paths are walked back by joins; nothing is counted as expanded there."""
     arcs = search.scratch(arcs.select("source", "target", "cost"))
     nodes = arcs.select(F.col("source").alias("node")).unionByName(arcs.select(F.col("target").alias("node"))).distinct()
     part = search.scratch(search.components(arcs, nodes))
@@ -56,7 +59,12 @@ def solved(problems: DataFrame, arcs: DataFrame, method: str = "astar", scale: i
                 rows.append((s, t, cost, path or None, seen))
         return pd.DataFrame(rows, columns=["source", "target", "cost", "path", "expanded"]).astype({"cost": "Int64", "expanded": "Int64"})
 
-    got = search.mapped(todo, arcs, "source long, target long, cost long, path array<long>, expanded long", kernel)
+    if search.few(arcs):
+        got = search.mapped(todo, arcs, "source long, target long, cost long, path array<long>, expanded long", kernel)
+    else:
+        far = search.scratch(search.single_source(arcs, todo.select("source").distinct()))
+        got = todo.join(far.withColumnRenamed("node", "target"), ["source", "target"]).join(search.walked(todo, far, arcs), ["source", "target"], "left")
+        got = got.withColumn("expanded", F.lit(None).cast("long"))
     return problems.select("id", "source", "target").join(got, ["source", "target"], "left")
 
 
@@ -92,10 +100,18 @@ def jump_point_costs(cells: DataFrame, problems: DataFrame) -> DataFrame:
         rows = [(s, t, _jps(graph, s, t)) for s, t in zip(batch["source"].tolist(), batch["target"].tolist())]
         return pd.DataFrame(rows, columns=["source", "target", "cost"]).astype({"cost": "Int64"})
 
+    if not search.few(arcs):
+        return _by_rounds(todo, arcs)
     got = search.mapped(todo.select("source", "target").distinct(), arcs, "source long, target long, cost long", kernel)
     return todo.join(got, ["source", "target"]).select("id", "cost")
 
 
+def _by_rounds(todo: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, cost), null where there is no path, for maps that no task can hold: the same costs by rounds over tables."""
+    far = search.single_source(arcs, todo.select("source").distinct()).withColumnRenamed("node", "target")
+    return todo.join(far, ["source", "target"], "left").select("id", "cost")
+
+
 def _jps(graph: search.Graph, source: int, target: int) -> int | None:
     import heapq
 
@@ -153,26 +169,36 @@ def _jps(graph: search.Graph, source: int, target: int) -> int | None:
 
 
 def contracted(arcs: DataFrame, core: int = 256) -> tuple[DataFrame, DataFrame]:
-    """A contraction hierarchy by rounds: each round removes an independent set of the nodes of least degree, joining
-    their in- and out-arcs to shortcuts that keep the least cost, until `core` nodes are left, which share the top level.
+    """A contraction hierarchy by rounds: each round removes the nodes whose importance is less than that of all their
+    neighbours, until `core` nodes are left, which share the top level. Importance is arcs added per arc removed, plus hops
+    added per hop removed, plus the level that contracted neighbours have left behind. In- and out-arcs of a removed node are
+    joined to shortcuts, but for those that an arc or a path of two arcs between remaining nodes makes needless.
     (levels (node, level), arcs with shortcuts and mid)."""
-    a = search.scratch(arcs.groupBy("source", "target").agg(F.min("cost").alias("cost")).withColumn("mid", F.lit(None).cast("long")))
+    a = arcs.groupBy("source", "target").agg(F.min("cost").alias("cost")).select("source", "target", "cost", F.lit(None).cast("long").alias("mid"), F.lit(1).cast("long").alias("hops"))
+    a = search.scratch(a)
     every, levels, level = a, None, 0
     while True:
-        both = a.select(F.col("source").alias("node"), F.col("target").alias("other")).unionByName(a.select(F.col("target").alias("node"), F.col("source").alias("other"))).distinct()
-        rank = both.groupBy("node").agg(F.count(F.lit(1)).alias("d")).withColumn("r", F.struct("d", F.xxhash64("node", F.lit(level)), "node"))
+        both = a.select(F.col("source").alias("node"), F.col("target").alias("other"), "hops").unionByName(a.select(F.col("target").alias("node"), F.col("source").alias("other"), "hops"))
+        short = a.select("source", F.col("target").alias("m"), F.col("cost").alias("c1"), F.col("hops").alias("h1")).join(a.select(F.col("source").alias("m"), "target", F.col("cost").alias("c2"), F.col("hops").alias("h2")), "m")
+        short = short.where("source <> target").select("source", "target", (F.col("c1") + F.col("c2")).alias("cost"), F.col("m").alias("mid"), (F.col("h1") + F.col("h2")).alias("hops"))
+        short = search.scratch(short.join(a.select("source", "target", F.col("cost").alias("now")), ["source", "target"], "left").where("now is null or now > cost").drop("now"))
+        added = short.groupBy(F.col("mid").alias("node")).agg(F.count(F.lit(1)).alias("added"), F.sum("hops").alias("longer"))
+        rank = both.groupBy("node").agg(F.count(F.lit(1)).alias("gone"), F.sum("hops").alias("shorter"), F.max("hops").alias("far")).join(added, "node", "left")
+        worth = F.coalesce(F.col("added") / F.col("gone"), F.lit(0.0)) + F.coalesce(F.col("longer") / F.col("shorter"), F.lit(0.0)) + F.log2("far")
+        rank = search.scratch(rank.select("node", F.struct(worth.alias("w"), F.xxhash64("node", F.lit(level)).alias("h"), "node").alias("r")))
         if rank.count() <= core:
             break
-        near = both.join(rank.select(F.col("node").alias("other"), F.col("r").alias("r2")), "other").groupBy("node").agg(F.min("r2").alias("r2"))
+        near = both.select("node", "other").join(rank.select(F.col("node").alias("other"), F.col("r").alias("r2")), "other").groupBy("node").agg(F.min("r2").alias("r2"))
         out = search.scratch(rank.join(near, "node").where("r < r2").select("node"))
         mark = out.withColumn("level", F.lit(level))
         levels = mark if levels is None else levels.unionByName(mark)
-        into = a.join(out.withColumnRenamed("node", "target"), "target").select("source", F.col("target").alias("m"), F.col("cost").alias("c1"))
-        from_ = a.join(out.withColumnRenamed("node", "source"), "source").select(F.col("source").alias("m"), "target", F.col("cost").alias("c2"))
-        short = into.join(from_, "m").where("source <> target").select("source", "target", (F.col("c1") + F.col("c2")).alias("cost"), F.col("m").alias("mid"))
-        rest = a.join(out.withColumnRenamed("node", "source"), "source", "left_anti").join(out.withColumnRenamed("node", "target"), "target", "left_anti")
-        merged = rest.select("source", "target", "cost", "mid").unionByName(short).groupBy("source", "target").agg(F.min(F.struct("cost", F.coalesce("mid", F.lit(-1)).alias("m"))).alias("b"))
-        a = search.scratch(merged.select("source", "target", F.col("b.cost").alias("cost"), F.when(F.col("b.m") >= 0, F.col("b.m")).alias("mid")))
+        rest = search.scratch(a.join(out.withColumnRenamed("node", "source"), "source", "left_anti").join(out.withColumnRenamed("node", "target"), "target", "left_anti"))
+        short = short.join(out.withColumnRenamed("node", "mid"), "mid", "left_semi").groupBy("source", "target").agg(F.min(F.struct("cost", "hops", "mid")).alias("b")).select("source", "target", "b.*")
+        ways = short.select("source", "target").join(rest.select("source", F.col("target").alias("x"), F.col("cost").alias("c1")), "source").join(rest.select(F.col("source").alias("x"), "target", F.col("cost").alias("c2")), ["x", "target"])
+        ways = ways.groupBy("source", "target").agg(F.min(F.col("c1") + F.col("c2")).alias("other"))
+        short = short.join(ways, ["source", "target"], "left").where("other is null or other > cost").select("source", "target", "cost", "mid", "hops")
+        merged = rest.select("source", "target", "cost", "mid", "hops").unionByName(short).groupBy("source", "target").agg(F.min(F.struct("cost", "hops", F.coalesce("mid", F.lit(-1)).alias("m"))).alias("b"))
+        a = search.scratch(merged.select("source", "target", F.col("b.cost").alias("cost"), F.when(F.col("b.m") >= 0, F.col("b.m")).alias("mid"), F.col("b.hops").alias("hops")))
         every = every.unionByName(a)
         level += 1
     nodes = arcs.select(F.col("source").alias("node")).unionByName(arcs.select(F.col("target").alias("node"))).distinct()
@@ -212,7 +238,14 @@ def first_moves(sources: DataFrame, arcs: DataFrame) -> DataFrame:
             rows += [(s, t, m) for t, m in ways.items() if t != s]
         return pd.DataFrame(rows, columns=["source", "target", "move"])
 
-    return search.mapped(sources, arcs, "source long, target long, move long", kernel)
+    if search.few(arcs):
+        return search.mapped(sources, arcs, "source long, target long, move long", kernel)
+    # a neighbour begins a shortest path where its arc and its distance make up the source's
+    near = search.scratch(arcs.join(sources, "source", "left_semi").select("source", F.col("target").alias("move"), F.col("cost").alias("step")))
+    far = search.scratch(search.single_source(arcs, sources.unionByName(near.select(F.col("move").alias("source"))).distinct()))
+    own = sources.join(far, "source").select("source", F.col("node").alias("target"), "cost").where("source <> target")
+    ways = near.join(far.select(F.col("source").alias("move"), F.col("node").alias("target"), F.col("cost").alias("rest")), "move").join(own, ["source", "target"]).where("step + rest = cost")
+    return ways.groupBy("source", "target").agg(F.min("move").alias("move"))
 
 
 def run_lengths(moves: DataFrame) -> DataFrame:
@@ -229,10 +262,10 @@ def jump_table_costs(cells: DataFrame, problems: DataFrame) -> DataFrame:
     """(id, cost) of problems (id, sx, sy, gx, gy) by a search that reads jumps from a table instead of scanning. Beside
     the table's jumps it takes those that pass the target: straight ones end on it, diagonal ones where they come to its
     row or column."""
-    arcs, labels = numbered(cells), G.jump_labels(cells).select(node("x", "y").alias("n"), "dir", "steps").toPandas()
-    if len(labels) > 8 * search.BROADCAST_ARCS:
-        raise ValueError("too many jumps for a task")
-    table = cells.sparkSession.sparkContext.broadcast({(n, d): k for n, d, k in labels.itertuples(index=False, name=None)})
+    arcs, labels = search.scratch(numbered(cells)), search.scratch(G.jump_labels(cells).select(node("x", "y").alias("n"), "dir", "steps"))
+    small = search.few(arcs) and search.few(labels, 8 * search.BROADCAST_ARCS)
+    held = {(n, d): k for n, d, k in labels.toPandas().itertuples(index=False, name=None)} if small else {}
+    table = cells.sparkSession.sparkContext.broadcast(held)
     open_ = cells.select(node("x", "y").alias("node"))
     todo = problems.select("id", node("sx", "sy").alias("source"), node("gx", "gy").alias("target"))
     todo = todo.join(open_.withColumnRenamed("node", "source"), "source", "left_semi").join(open_.withColumnRenamed("node", "target"), "target", "left_semi")
@@ -279,5 +312,7 @@ def jump_table_costs(cells: DataFrame, problems: DataFrame) -> DataFrame:
         rows = [(s, t, solve(graph, s, t)) for s, t in zip(batch["source"].tolist(), batch["target"].tolist())]
         return pd.DataFrame(rows, columns=["source", "target", "cost"]).astype({"cost": "Int64"})
 
+    if not small:
+        return _by_rounds(todo, arcs)
     got = search.mapped(todo.select("source", "target").distinct(), arcs, "source long, target long, cost long", kernel)
     return todo.join(got, ["source", "target"]).select("id", "cost")

@@ -24,6 +24,12 @@ def scratch(df: DataFrame) -> DataFrame:
     return stored(df, "paths")
 
 
+def few(arcs: DataFrame, limit: int | None = None) -> bool:
+    """Whether the arcs may be sent to every task."""
+    most = BROADCAST_ARCS if limit is None else limit
+    return arcs.limit(most + 1).count() <= most
+
+
 class Graph:
     """Adjacency lists; built once per Python worker from three arrays."""
 
@@ -93,8 +99,9 @@ class Graph:
         return best
 
 
-def collected(arcs: DataFrame, limit: int = BROADCAST_ARCS) -> tuple[list[int], list[int], list[int]]:
+def collected(arcs: DataFrame, limit: int | None = None) -> tuple[list[int], list[int], list[int]]:
     """The arcs as three lists, in order; refused beyond `limit`."""
+    limit = BROADCAST_ARCS if limit is None else limit
     rows = arcs.select("source", "target", "cost").limit(limit + 1).toPandas()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} arcs: use the rounds over tables")
@@ -129,10 +136,10 @@ def rounds(arcs: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
     raise RuntimeError("no fixpoint")
 
 
-def single_source(arcs: DataFrame, sources: DataFrame, limit: int = BROADCAST_ARCS) -> DataFrame:
+def single_source(arcs: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """(source, node, cost) for each of `sources` (source) and each node that it reaches."""
     arcs = scratch(arcs.select("source", "target", "cost"))  # counted and then read: worth writing once
-    if arcs.limit(limit + 1).count() <= limit:
+    if few(arcs, limit):
 
         def kernel(graph: Graph, batch: pd.DataFrame) -> pd.DataFrame:
             parts = [(s, graph.distances(s)) for s in batch["source"].tolist()]
@@ -151,12 +158,12 @@ def single_source(arcs: DataFrame, sources: DataFrame, limit: int = BROADCAST_AR
         best = scratch(best.unionByName(frontier).groupBy("source", "node").agg(F.min("cost").alias("cost")))
 
 
-def components(arcs: DataFrame, nodes: DataFrame, limit: int = BROADCAST_ARCS) -> DataFrame:
+def components(arcs: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over arcs taken both ways. Up to `limit` arcs, which are then few
     enough to be broadcast for searches, are united on the driver; beyond that each round maps nodes to that of
     themselves and their neighbours whose hash is least and contracts the arcs by that map: only local minima of a
     random order stay, so the rounds are logarithmic."""
-    if arcs.limit(limit + 1).count() <= limit:
+    if few(arcs, limit):
         root: dict[int, int] = {}
 
         def find(n: int) -> int:
@@ -183,3 +190,25 @@ def components(arcs: DataFrame, nodes: DataFrame, limit: int = BROADCAST_ARCS) -
         out = out.join(m.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     out = scratch(out)
     return out.join(out.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def walked(problems: DataFrame, distances: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(source, target, path) of problems (source, target) by joins: from the target back over the smallest node whose
+    distance and arc make up the distance, one round for each step of the longest path."""
+    into = arcs.select(F.col("target").alias("node"), F.col("source").alias("before"), F.col("cost").alias("step"))
+    far = lambda n, c: distances.select("source", F.col("node").alias(n), F.col("cost").alias(c))
+    at = stored(problems.select("source", "target").distinct().join(far("target", "cost"), ["source", "target"]).select("source", "target", F.col("target").alias("node"), "cost", F.lit(0).alias("k")))
+    parts = [at]
+    while True:
+        rest = at.where("node <> source")
+        if rest.isEmpty():
+            break
+        ahead = rest.join(into, "node").join(far("before", "left"), ["source", "before"]).where("left + step = cost")
+        at = ahead.groupBy("source", "target", "k").agg(F.min(F.struct("before", "left")).alias("b")).select("source", "target", F.col("b.before").alias("node"), F.col("b.left").alias("cost"), (F.col("k") + 1).alias("k"))
+        at = stored(at)
+        parts.append(at)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    steps = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "node")))
+    return every.groupBy("source", "target").agg(steps.alias("s")).select("source", "target", F.transform("s", lambda v: v["node"]).alias("path"))

@@ -118,7 +118,7 @@ QUERIES = {
     "or01_sorted_scenarios": lambda s, d: D.problems(s, d).withColumn("h", S.octile(*_c(*AT))).orderBy("h", "id").select("id", "h"),
     "or03_frontier_order": lambda s, d: D.problems(s, d).select("sx", "id", (F.col("gx") + F.col("gy")).alias("f"), F.col("gx").alias("g")).withColumn("k", F.row_number().over(Window.partitionBy("sx").orderBy("f", F.desc("g"), "id"))).where("k <= 3"),
     "or10_best_algorithm": lambda s, d: D.measurements(s, d).groupBy("instance").agg(F.min_by("alg", F.struct("time", "seq")).alias("alg"), F.min("time").alias("time")),
-    "st01_union_runs": lambda s, d: D.measurements(s, d).where("run = 0").unionByName(D.measurements(s, d).where("run = 2")).select("alg", "instance", "run", "time"),
+    "st01_union_runs": lambda s, d: D.measurements(s, d).where("run = 0").unionByName(D.measurements(s, d).where("run = 1")).unionByName(D.measurements(s, d).where("run = 2")).select("alg", "instance", "run", "time"),
     "st02_union_distinct": lambda s, d: D.problems(s, d).select(F.col("sx").alias("x"), F.col("sy").alias("y")).union(D.problems(s, d).select("gx", "gy")).dropDuplicates(),
     "jn10_asof_first_move": lambda s, d: A.asof(D.table(s, d, "orders").select((F.col("o_orderkey") % 500).alias("source"), (F.col("o_custkey") % 1000).alias("target")).distinct(), _runs(s, d)).fillna(-1, ["move"]),
     "jn11_discrepancy": lambda s, d: A.discrepancies(_per_alg(s, d, "view"), _per_alg(s, d, "click"), "instance", "time", 1.0),
@@ -126,7 +126,7 @@ QUERIES = {
     "jn13_ratio_to_baseline": lambda s, d: A.ratio_to_baseline(_stats(s, d), "view"),
     "jn14_stat_combination": lambda s, d: A.combined(_stats(s, d), "time", "/", "dist", "time_per_dist"),
     "jn17_group_mapping": lambda s, d: D.problems(s, d).groupBy(F.col("sx").alias("member")).agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")),
-    "snk11_stat_table": lambda s, d: _stats(s, d).where("stat = 'time'").groupBy("benchmark").pivot("alg", ["click", "view"]).agg(F.first("value")),
+    "snk11_stat_table": lambda s, d: _stats(s, d).where("stat = 'time'").groupBy("benchmark").pivot("alg", ["click", "error", "purchase", "signup", "view"]).agg(F.first("value")),
 }
 _PTH = f"WITH {LENGTH}, s AS (SELECT path, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY path ORDER BY seq)) SELECT path, "
 _DIR = "CASE WHEN dx = 0 AND dy < 0 THEN 1 WHEN dx = 0 AND dy > 0 THEN 2 WHEN dx > 0 AND dy = 0 THEN 4 WHEN dx < 0 AND dy = 0 THEN 8 WHEN dx > 0 AND dy < 0 THEN 16 WHEN dx < 0 AND dy < 0 THEN 32 WHEN dx > 0 AND dy > 0 THEN 64 WHEN dx < 0 AND dy > 0 THEN 128 ELSE 0 END"
@@ -182,7 +182,7 @@ ORACLES = {
     "or01_sorted_scenarios": f"WITH {_PA} SELECT id, least(ax,ay)*14142 + (greatest(ax,ay)-least(ax,ay))*10000 AS h FROM pa ORDER BY h, id",
     "or03_frontier_order": f"WITH {P}, k AS (SELECT sx, id, gx+gy AS f, gx AS g, row_number() OVER (PARTITION BY sx ORDER BY gx+gy, gx DESC, id) AS k FROM problems) SELECT * FROM k WHERE k <= 3",
     "or10_best_algorithm": f"WITH {M}, k AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY time, seq) AS k FROM m) SELECT instance, alg, time FROM k WHERE k = 1",
-    "st01_union_runs": f"WITH {M} SELECT alg, instance, run, time FROM m WHERE run = 0 UNION ALL SELECT alg, instance, run, time FROM m WHERE run = 2",
+    "st01_union_runs": f"WITH {M} SELECT alg, instance, run, time FROM m",
     "st02_union_distinct": f"WITH {P} SELECT sx AS x, sy AS y FROM problems UNION SELECT gx, gy FROM problems",
     "jn10_asof_first_move": f"WITH {RUNS}, {KEYS} SELECT k.source, k.target, COALESCE(arg_max(move, run_begin), -1) AS move FROM keys k LEFT JOIN runs r ON r.source = k.source AND r.run_begin <= k.target GROUP BY 1, 2",
     "jn11_discrepancy": f"WITH {_PERALG} SELECT instance, a.t AS a, b.t AS b FROM a JOIN b USING (instance) WHERE abs(a.t - b.t) > 1.0",
@@ -190,5 +190,5 @@ ORACLES = {
     "jn13_ratio_to_baseline": f"WITH {STATS} SELECT s.benchmark, s.stat, s.alg, CASE WHEN s.value > 0 THEN round(b.value/s.value, 6) ELSE 0.0::DOUBLE END AS ratio FROM stats s JOIN stats b ON b.benchmark = s.benchmark AND b.stat = s.stat AND b.alg = 'view'",
     "jn14_stat_combination": f"WITH {STATS} SELECT benchmark, alg, 'time_per_dist' AS stat, round(time/nullif(dist, 0), 6) AS value FROM g",
     "jn17_group_mapping": f"WITH {P} SELECT sx AS member, min(id) AS group_id, count(*) AS n FROM problems GROUP BY 1",
-    "snk11_stat_table": f"WITH {STATS} SELECT benchmark, max(time) FILTER (alg = 'click') AS click, max(time) FILTER (alg = 'view') AS \"view\" FROM g GROUP BY 1",
+    "snk11_stat_table": f"WITH {STATS} SELECT benchmark, " + ", ".join(f"max(time) FILTER (alg = '{a}') AS \"{a}\"" for a in ("click", "error", "purchase", "signup", "view")) + " FROM g GROUP BY 1",
 }

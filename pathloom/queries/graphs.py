@@ -14,7 +14,7 @@ from .visibility import _RECT
 
 def _pairs(s, d) -> DataFrame:
     n = V.neighbours(V.rectangles(D.cells(s, d)))
-    return n.select((F.col("y1") * 65536 + F.col("x1")).alias("a"), (F.col("oy1") * 65536 + F.col("ox1")).alias("b"))
+    return n.select((F.col("y1") * 2147483648 + F.col("x1")).alias("a"), (F.col("oy1") * 2147483648 + F.col("ox1")).alias("b"))
 
 
 def _mesh_length(s, d) -> DataFrame:
@@ -50,12 +50,11 @@ QUERIES = {
     "fl06_point_in_polygon": lambda s, d: M.classified(D.problems(s, d).select("id", (F.col("sx") + F.col("gy") / 32.0).alias("x"), (F.col("sy") + F.col("gx") / 32.0).alias("y")), M.from_boxes(V.rectangles(D.cells(s, d)))),
     "fl08_corridor": lambda s, d: _hpa_arcs(s, d),
     "fl14_avoidable": lambda s, d: Q._arcs(s, d).join(G.subgoals(D.cells(s, d)).select(P.node("x", "y").alias("target")), "target", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n")),
-    "ag07_apply_per_group": lambda s, d: D.measurements(s, d).select("alg", "time").groupBy("alg").applyInPandas(lambda p: p.groupby("alg", as_index=False).agg(spread=("time", lambda v: float(v.max() - v.min()))), "alg string, spread double").select("alg", F.round("spread", 6).alias("spread")),
+    "ag07_apply_per_group": lambda s, d: A.applied(D.measurements(s, d).select("alg", "time"), "alg", "time", lambda v: float(v.max() - v.min())).select("alg", F.round("value", 6).alias("spread")),
     "ag18_strong_components": lambda s, d: H.strong_components(_directed(s, d).withColumn("cost", F.lit(1))),
     "ag21_width_bfs": lambda s, d: search.single_source(H.unit_arcs(D.cells(s, d)), Q._first(s, d)).groupBy(F.col("cost").alias("hops")).agg(F.count(F.lit(1)).alias("width")),
     "ag22_cluster_means": lambda s, d: P.clusters(D.cells(s, d)).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.avg("n"), 6).alias("mean_size"), F.count(F.lit(1)).alias("clusters")),
     "or08_node_orders": lambda s, d: Q._subgoal_nodes(s, d).select("source", F.md5(F.col("source").cast("string").cast("binary")).alias("k")).orderBy("k"),
-    "pg25_hierarchy_unpacked": lambda s, d: H.unpacked(P.contracted(Q._arcs(s, d))[1]),
     "pg30_irredundant_arcs": lambda s, d: H.irredundant(_subgoal_arcs(s, d)),
     "pg35_lattice_arcs": _lattice,
     "pg19_corridor_costs": lambda s, d: search.single_source(P.numbered(D.cells(s, d).where("x between 5 and 20")), D.cells(s, d).where("x between 5 and 20").agg(F.min(P.node("x", "y")).alias("source"))).select("node", "cost"),
@@ -63,15 +62,15 @@ QUERIES = {
     "ra_relaxed_cost": lambda s, d: H.relaxed_costs(Q._problems(s, d), Q._arcs(s, d)).where("cost is not null"),
 }
 _SUBSET = BASE.replace("q % 4 <> 0)", "q % 4 <> 0 AND x BETWEEN 5 AND 20)", 1).replace("WITH ", "WITH RECURSIVE ", 1)
-_OCT = "least(abs(s%65536 - n%65536), abs(s//65536 - n//65536))*14142 + (greatest(abs(s%65536 - n%65536), abs(s//65536 - n//65536)) - least(abs(s%65536 - n%65536), abs(s//65536 - n//65536)))*10000"
+_OCT = "least(abs(s%2147483648 - n%2147483648), abs(s//2147483648 - n//2147483648))*14142 + (greatest(abs(s%2147483648 - n%2147483648), abs(s//2147483648 - n//2147483648)) - least(abs(s%2147483648 - n%2147483648), abs(s//2147483648 - n//2147483648)))*10000"
 _SG = _SUB.replace("src AS", "sg AS")
 ORACLES = {
-    "jn05_incident_edges": f"{BASE}, {_N} SELECT f AS source, t AS target, c AS cost FROM arcs WHERE f = (SELECT min(y*65536+x) FROM cells)",
+    "jn05_incident_edges": f"{BASE}, {_N} SELECT f AS source, t AS target, c AS cost FROM arcs WHERE f = (SELECT min(y*2147483648+x) FROM cells)",
     "jn15_connected_subgoals": f"{_R}, {_N}, {_SG}, {_PROB}, src AS (SELECT DISTINCT source AS s FROM pr), {_FIX} SELECT d.s AS source, n AS subgoal, cost FROM d JOIN sg ON sg.s = n WHERE cost = {_OCT.replace('s%', 'd.s%').replace('s//', 'd.s//')}",
     "jn16_dense_ids": f"{BASE}, {_SUB} SELECT s AS source, row_number() OVER (ORDER BY s) - 1 AS id FROM src",
     "fl02_search_parameters": f"{BASE}, {_PROB} SELECT id FROM pr WHERE source <> target",
-    "fl06_point_in_polygon": f"WITH {_RECT}, {D.PROBLEMS_SQL}, p AS (SELECT id, sx + gy/32.0::DOUBLE AS x, sy + gx/32.0::DOUBLE AS y FROM problems) SELECT id, y1*65536+x1 AS pid, CASE WHEN (x = x1 OR x = x2) AND (y = y1 OR y = y2) THEN 'vertex' WHEN x = x1 OR x = x2 OR y = y1 OR y = y2 THEN 'edge' ELSE 'inside' END AS state FROM p JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2",
-    "fl08_corridor": f"{BASE}, {_N} SELECT f%65536 AS x, f//65536 AS y, t%65536 AS x2, t//65536 AS y2, c AS cost FROM arcs WHERE f%65536//10 = 1 OR t%65536//10 = 1",
+    "fl06_point_in_polygon": f"WITH {_RECT}, {D.PROBLEMS_SQL}, p AS (SELECT id, sx + gy/32.0::DOUBLE AS x, sy + gx/32.0::DOUBLE AS y FROM problems) SELECT id, y1*2147483648+x1 AS pid, CASE WHEN (x = x1 OR x = x2) AND (y = y1 OR y = y2) THEN 'vertex' WHEN x = x1 OR x = x2 OR y = y1 OR y = y2 THEN 'edge' ELSE 'inside' END AS state FROM p JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2",
+    "fl08_corridor": f"{BASE}, {_N} SELECT f%2147483648 AS x, f//2147483648 AS y, t%2147483648 AS x2, t//2147483648 AS y2, c AS cost FROM arcs WHERE f%2147483648//10 = 1 OR t%2147483648//10 = 1",
     "fl14_avoidable": f"{BASE}, {_N}, {_SUB} SELECT f AS source, count(*) AS n FROM arcs WHERE t NOT IN (SELECT s FROM src) GROUP BY f",
     "ag07_apply_per_group": f"WITH {D.MEASUREMENTS_SQL} SELECT alg, round(max(time) - min(time), 6) AS spread FROM m GROUP BY alg",
     "ag18_strong_components": "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS f, l_suppkey * 7 % 300 AS t FROM lineitem), n AS (SELECT f AS n FROM e UNION SELECT t FROM e), r(a, b) AS (SELECT n, n FROM n UNION SELECT r.a, e.t FROM r JOIN e ON e.f = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a",

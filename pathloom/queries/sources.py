@@ -30,11 +30,9 @@ QUERIES = {
     "src01_map_round_trip": lambda s, d: _map(s, d).where("tile = '.'").select("x", "y"),
     "src10_problem_round_trip": lambda s, d: _problem_file(s, d).groupBy("file", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("sx") + F.col("gy")).cast("long").alias("total"), F.max("precision").alias("digits")),
     "src21_stat_lines": lambda s, d: R.parse_stats(D.table(s, d, "events").select(F.lit("f").alias("file"), F.concat(F.lit("time of "), "event_type", F.lit(" : "), F.col("event_id").cast("string")).alias("value"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")),
-    "snk02_result_rows": lambda s, d: R.rows_text(D.measurements(s, d).select("seq", "alg", "instance", "run")),
 }
 ORACLES = {
     "src01_map_round_trip": f"WITH {D.CELLS_SQL} SELECT x, y FROM cells",
     "src10_problem_round_trip": f"WITH {D.PROBLEMS_SQL} SELECT 'f' || (id % 4) AS file, CAST(greatest(abs(sx-gx), abs(sy-gy)) // 4 AS INT) AS bucket, count(*) AS n, sum(sx+gy)::BIGINT AS total, 4 AS digits FROM problems GROUP BY 1, 2",
     "src21_stat_lines": "SELECT 'time of ' || event_type AS name, count(*) AS n, sum(event_id)::DOUBLE AS total FROM events GROUP BY 1",
-    "snk02_result_rows": f"WITH {D.MEASUREMENTS_SQL} SELECT concat_ws(';', seq, alg, instance, run) AS value FROM m",
 }

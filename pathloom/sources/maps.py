@@ -18,8 +18,8 @@ NAVMESH_ROWS = "`index` int, micro double, successor_calls bigint, generated big
 
 def texts(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(file, value): whole text files."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    return (r.option("pathGlobFilter", glob) if glob else r).text(path).select(F.input_file_name().alias("file"), "value")
+    r = spark.read.option("recursiveFileLookup", True)
+    return (r.option("pathGlobFilter", glob) if glob else r).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def parse_maps(files: DataFrame) -> DataFrame:
@@ -191,3 +191,81 @@ def parse_primitives(line: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(p) - 5) div 2 - 1").cast("int")), lambda i: F.struct(F.get("p", 5 + 2 * i).alias("dx"), F.get("p", 6 + 2 * i).alias("dy")))
     swept = F.when(F.size("p") >= 7, pairs).otherwise(F.array().cast("array<struct<dx:bigint,dy:bigint>>"))
     return p.select(*(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("o", "o2", "dx", "dy", "cost"))), swept.alias("swept"))
+
+
+def parse_loose_problems(line: DataFrame) -> DataFrame:
+    """(file, row_id, map, sx, sy, gx, gy, distance) of (file, row_id, value) lines split at tabs or spaces; lines with under
+    nine fields, or with words where numbers belong, are left out, and no header is asked for."""
+    p = line.select("file", "row_id", F.split(F.trim("value"), SEPARATED).alias("p")).where(F.size("p") >= 9)
+    num = lambda i: F.get("p", F.lit(i))
+    out = p.select("file", "row_id", num(1).alias("map"), *(num(i).try_cast("int").alias(n) for i, n in ((4, "sx"), (5, "sy"), (6, "gx"), (7, "gy"))), num(8).try_cast("double").alias("distance"))
+    return out.dropna()
+
+
+def parse_float_problems(line: DataFrame) -> DataFrame:
+    """(file, row_id, bucket, map, sx, sy, gx, gy, distance), coordinates with a point, of files that begin with
+    `version 1.0`; a file stops counting at its first line that is no problem."""
+    first = line.where("row_id = 0 and trim(value) = 'version 1.0'").select("file")
+    p = line.where("row_id > 0").join(first, "file").select("file", "row_id", F.split(F.trim("value"), SEPARATED).alias("p"))
+    num = lambda i: F.get("p", F.lit(i)).try_cast("double")
+    out = p.select("file", "row_id", F.get("p", F.lit(0)).try_cast("int").alias("bucket"), F.get("p", F.lit(1)).alias("map"), *(num(i).alias(n) for i, n in ((4, "sx"), (5, "sy"), (6, "gx"), (7, "gy"), (8, "distance"))))
+    bad = out.where("bucket is null or map is null or sx is null or sy is null or gx is null or gy is null or distance is null").groupBy("file").agg(F.min("row_id").alias("end"))
+    return out.join(bad, "file", "left").where("end is null or row_id < end").drop("end")
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, value): the numbers of packed files, read as binary files and unpacked in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f, content in zip(batch["path"], batch["content"]):
+                values = unpacked(content)
+                yield pd.DataFrame({"file": [f.rsplit("/", 1)[-1]] * len(values), "i": range(len(values)), "value": values})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, i long, value long")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def competition_rows(scores: DataFrame) -> DataFrame:
+    """(value): rows of (scenario, total_time, max_step, time_20, length, subopt, valid) as pairs of labels and values."""
+    pairs = (("total-time", "total_time"), ("max-time-step", "max_step"), ("time-20-moves", "time_20"), ("total-len", "length"), ("subopt", "subopt"))
+    parts = [c for label, name in pairs for c in (F.lit(label), F.format_string("%.2f", F.col(name)))]
+    return scores.select(F.concat_ws("\t", "scenario", *parts, F.when(F.col("valid"), "valid").otherwise("invalid")).alias("value"))
+
+
+def stat_lines(stats: DataFrame) -> DataFrame:
+    """(value): `description : value` lines of (name, value)."""
+    return stats.select(F.concat(F.col("name"), F.lit(" : "), F.col("value").cast("string")).alias("value"))
+
+
+def path_rows(paths: DataFrame) -> DataFrame:
+    """(value): `path i; (x,y) (x,y) ...` of (id, points array<struct<x,y>>)."""
+    points = F.array_join(F.transform("points", lambda p: F.concat(F.lit("("), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit(")"))), " ")
+    return paths.select(F.concat(F.lit("path "), F.col("id").cast("string"), F.lit("; "), points).alias("value"))
+
+
+def mesh_text(vertices: list[tuple[float, float, list[int]]], polygons: list[tuple[list[int], list[int]]]) -> str:
+    """A mesh of version 2: vertices with the polygons around them, -1 for none, and polygons with their corners and
+    neighbours."""
+    lines = ["mesh", "2", f"{len(vertices)} {len(polygons)}"]
+    lines += [" ".join(map(str, (x, y, len(near), *near))) for x, y, near in vertices]
+    lines += [" ".join(map(str, (len(corners), *corners, *near))) for corners, near in polygons]
+    return "\n".join(lines) + "\n"
+
+
+def square_mesh(n: int) -> str:
+    """The mesh text of n times n unit squares."""
+    at = lambda i, j: j * n + i if 0 <= i < n and 0 <= j < n else -1
+    vertices = [(i, j, [at(i, j), at(i - 1, j), at(i - 1, j - 1), at(i, j - 1)]) for j in range(n + 1) for i in range(n + 1)]
+    corner = lambda i, j: j * (n + 1) + i
+    polygons = [([corner(i, j), corner(i + 1, j), corner(i + 1, j + 1), corner(i, j + 1)], [at(i - 1, j), at(i, j - 1), at(i + 1, j), at(i, j + 1)]) for j in range(n) for i in range(n)]
+    return mesh_text(vertices, polygons)

@@ -6,19 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.scratch import root
+
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result table."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there now and returns its result table. Batches are written to the shared folder, the whole
+    result of the last one, or, unless the mode is complete, those of all."""
+    path = f"{root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """The table's files as a stream."""
     path = f"{sf_dir}/{table}.parquet"
-    out = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/{table}*.parquet")
+    out = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/{table}.parque[t]")
     return out.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in out.columns else out  # event time needs a zone
 
 
@@ -82,3 +89,37 @@ def unit_states(events: DataFrame) -> DataFrame:
 
     rows = events.select(F.col("user_id").alias("unit"), F.col("event_id").alias("seq"), "value")
     return rows.groupBy("unit").applyInPandasWithState(act, "unit long, seq long, n long, t double", "n long, t double, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+#: Open cells that a task of walks may hold.
+MOST_CELLS = 2_000_000
+
+
+def walks(cells: DataFrame, units: DataFrame, policy: str, steps: int) -> DataFrame:
+    """(id, k, x, y, d) of units (id, x, y) that begin facing north (d 0; east 1, south 2, west 3) and take up to `steps`
+    moves. right_hand: the first open cell of right, ahead, left, back. billiard: ahead, or back where that is blocked. A
+    unit that cannot move ends. Units do not see each other."""
+    import pandas as pd
+
+    held = cells.select("x", "y").limit(MOST_CELLS + 1).toPandas()
+    if len(held) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    open_ = cells.sparkSession.sparkContext.broadcast(set(zip(held["x"].tolist(), held["y"].tolist())))
+    turns = {"right_hand": (1, 0, 3, 2), "billiard": (0, 2)}[policy]
+
+    def walk(batches):
+        moves = ((0, -1), (1, 0), (0, 1), (-1, 0))
+        for batch in batches:
+            rows = []
+            for i, x, y in batch[["id", "x", "y"]].itertuples(index=False, name=None):
+                d = 0
+                rows.append((i, 0, x, y, d))
+                for k in range(1, steps + 1):
+                    way = next((e for e in ((d + t) % 4 for t in turns) if (x + moves[e][0], y + moves[e][1]) in open_.value), None)
+                    if way is None:
+                        break
+                    d, x, y = way, x + moves[way][0], y + moves[way][1]
+                    rows.append((i, k, x, y, d))
+            yield pd.DataFrame(rows, columns=["id", "k", "x", "y", "d"])
+
+    return units.select("id", "x", "y").mapInPandas(walk, "id long, k long, x long, y long, d long")
