@@ -8,7 +8,7 @@ from pyspark.sql.types import MapType
 
 from ..plans.scratch import clear as clear_scratch, numbered, root as scratch_root, spread_join, stored
 
-__all__ = ["batch_of", "clear_scratch", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table", "tidy"]
+__all__ = ["batch_of", "clear_scratch", "give_back", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table", "tidy"]
 
 #: Bytes of text that a kernel turns into arrays at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
@@ -40,6 +40,18 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
         at = to
 
 
+def give_back() -> None:
+    """Returns the memory that arrays no longer use to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(kernel):
     """The kernel, giving the memory that it has used back to the system at its end: workers live on between stages."""
 
@@ -47,14 +59,7 @@ def tidy(kernel):
         try:
             yield from kernel(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

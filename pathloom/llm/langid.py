@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import batch_of, pieces, tidy
+from ._common import batch_of, give_back, pieces, tidy
 from ._text import U, mix
 
 #: Training texts at most, of each language an equal share, those with the least hash; and so languages at most, those of
@@ -121,7 +121,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     got = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text").mapInArrow(tidy(_sample), "lang string, bits binary").toArrow()
     sets = [np.flatnonzero(np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))) for b in got.column("bits")]
-    return fit_cells(sets, got.column("lang").to_pylist())
+    model = fit_cells(sets, got.column("lang").to_pylist())
+    del got, sets
+    give_back()
+    return model
 
 
 _PREDICTIONS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -49,6 +49,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def llm_quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5 what no learnt rule decides."""
+    rows = quality_rules.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def llm_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7 what no hash decides."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -60,6 +71,19 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
+    "llm_quality_statistics": llm_quality_statistics,
+    "llm_mixing_targets": llm_mixing_targets,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = "k(n, c) USING KEY (n) AS (SELECT id, id FROM nodes UNION SELECT e.y, min(k.c) FROM k JOIN e ON e.x = k.n JOIN recurring.k r ON r.n = e.y WHERE k.c < r.c GROUP BY e.y)"
+_VECTORS = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), z AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0)"
+
+#: The results that their contracts fix whatever the method. The others rest on hashes, learnt models or token ids.
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": f"WITH RECURSIVE {_VECTORS}, e AS (SELECT a.id AS x, b.id AS y FROM z a JOIN z b ON a.label = b.label AND a.id <> b.id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}, m AS (SELECT x, count(*) AS n FROM e GROUP BY x) SELECT n AS vec_id, COALESCE((SELECT m.n FROM m WHERE m.x = k.n), 0)::BIGINT AS n_links, c AS component_id, n = c AS kept FROM k",
+    "op4_minhash_dedup": f"WITH RECURSIVE w AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS w FROM documents), s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w), u AS (SELECT id, unnest(s) AS g FROM s), shares AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2), e AS (SELECT x, y FROM shares JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)), nodes AS (SELECT id FROM s), {_REACH} SELECT n AS doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, n = c AS kept FROM k JOIN s ON s.id = n",
+    "llm_quality_statistics": f"WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), r AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) AS n FROM r), c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g CROSS JOIN range(8) t(j) WHERE n > 1 GROUP BY doc_id), l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w), k AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)) SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM k",
+    "llm_mixing_targets": f"WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents), s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source), o AS (SELECT *, 1.5 * sum(n) OVER () - coalesce(sum(2.0 * n) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS ws FROM s WINDOW before AS (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), l AS (SELECT max(rest / ws) FILTER (rest / ws <= 2.0 * n / w) AS level FROM o), t AS (SELECT source, n, least(2.0 * n, coalesce(level * w, 2.0 * n)) AS target FROM s CROSS JOIN l) SELECT doc_id, size, t.n AS source_size, round(target::DOUBLE, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source",
+}

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import batch_of, pieces, tidy
+from ._common import batch_of, give_back, pieces, tidy
 from ._text import raw, runs, span_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose doc_id has the least hash, a text for each.
@@ -96,11 +96,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # of rows that repeat an id
     rows = rows.withColumn("at", first).where("at = 1").select("text", "toxic")
     got = rows.mapInArrow(tidy(_sample), "toxic int, hashes binary, values binary").toArrow()
-    return fit_sample(
-        np.array(got.column("toxic").to_pylist(), np.int64),
-        [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")],
-        [np.frombuffer(v.as_buffer(), np.float32) for v in got.column("values")],
-    )
+    toxic = np.array(got.column("toxic").to_pylist(), np.int64)
+    hashes = [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")]
+    values = [np.frombuffer(v.as_buffer(), np.float32) for v in got.column("values")]
+    model = fit_sample(toxic, hashes, values)
+    del got, hashes, values
+    give_back()
+    return model
 
 
 #: Places that features are summed at first, before the few that matter are told apart by their whole hash.
