@@ -84,7 +84,7 @@ QUERIES = {
     "fn17_move_split": lambda s, d: D.problems(s, d).select("id", F.greatest(*S.spans(*_c(*AT))).alias("total"), F.least(*S.spans(*_c(*AT))).alias("diagonal"), S.direction(F.signum(F.col("gx") - F.col("sx")), F.signum(F.col("gy") - F.col("sy"))).alias("dir")),
     "fn19_round_nearest": lambda s, d: D.table(s, d, "customer").select("c_custkey", S.round_to_nearest(F.col("c_acctbal"), 50).alias("v")),
     "fn20_wraparound": lambda s, d: D.table(s, d, "orders").select("o_orderkey", S.unwrapped_seconds(F.col("o_orderkey") * 37 % 86400, F.col("o_custkey") * 91 % 86400).alias("seconds")),
-    "fn21_benchmark_label": lambda s, d: D.table(s, d, "part").select("p_partkey", S.benchmark_label(F.col("p_name"), [("a", "A"), ("e", "E"), ("steel", "Steel"), ("red|blue", "Color")]).alias("label")),
+    "fn21_benchmark_label": lambda s, d: D.table(s, d, "part").select("p_partkey", S.benchmark_label(F.col("p_name"), [("a", "A"), ("e", "E"), ("steel", "Steel"), ("red|blue", "Color")], "Other").alias("label")),
     "src20_basename": lambda s, d: D.table(s, d, "pages").select("page_id", S.basename(F.col("url")).alias("name")),
     "fl07_category_filter": lambda s, d: A.passes(D.stat_log(s, d), ["view", "click", "purchase"], ["click"]).groupBy("category").agg(F.count(F.lit(1)).alias("n")),
     "fl10_drop_missing": lambda s, d: D.measurements(s, d).withColumn("v", F.expr("case when seq % 7 = 0 then null when seq % 11 = 0 then double('NaN') else time end")).where(F.col("v").isNotNull() & ~F.isnan("v")).select("seq", "v"),

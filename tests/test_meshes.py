@@ -53,7 +53,7 @@ def test_unpacked_arcs_cost_the_same(spark):
     got = graphs.unpacked(every)
     both = got.join(every.withColumnRenamed("cost", "c"), ["source", "target"])
     assert both.count() == every.count() and both.where("cost <> c").count() == 0
-    q = arcs.selectExpr("source", "target").unionByName(arcs.selectExpr("target as source", "source as target")).distinct().selectExpr("source * 4294967296 + target as id", "source", "target")
+    q = arcs.selectExpr("source", "target").unionByName(arcs.selectExpr("target as source", "source as target")).distinct().selectExpr("xxhash64(source, target) as id", "source", "target")
     want = {r.id: r.cost for r in paths.solved(q, arcs).collect()}
     assert {r.id: r.cost for r in paths.hierarchy_costs(q, levels, every).collect()} == want
 

@@ -8,7 +8,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 from pathloom import catalog  # noqa: E402
-from pathloom.operators import grid, paths, visibility  # noqa: E402
+from pathloom.operators import graphs, grid, hierarchies, paths, visibility  # noqa: E402
 from pathloom.plans import derived, search  # noqa: E402
 from pathloom.sources import maps  # noqa: E402
 
@@ -94,6 +94,64 @@ def test_rounds_equal_kernel(spark):
     assert sorted(search.components(arcs, nodes).collect()) == sorted(search.components(arcs, nodes, limit=0).collect())
 
 
+def test_searches_go_on_beyond_the_limit(spark, monkeypatch):
+    """Graphs that no task may hold give the same costs, paths, first moves and components."""
+    g = random.Random(6)
+    cells = [(x, y) for x in range(7) for y in range(7) if g.random() < 0.8]
+    df = spark.createDataFrame(cells, "x long, y long")
+    arcs = paths.numbered(df)
+    p = spark.createDataFrame([(i, *g.choice(cells), *g.choice(cells)) for i in range(6)], "id long, sx long, sy long, gx long, gy long")
+    q = p.select("id", paths.node("sx", "sy").alias("source"), paths.node("gx", "gy").alias("target"))
+    own = q.select("source").distinct()
+    directed = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8)], "source long, target long")
+
+    def all_of():
+        solved = paths.solved(q, arcs)
+        return [
+            sorted((r.id, r.cost) for r in solved.collect()), all(r.valid for r in paths.path_costs(solved, arcs).collect()), sorted(map(tuple, paths.first_moves(own, arcs).collect())),
+            sorted((r.id, r.cost) for r in paths.jump_point_costs(df, p).collect()), sorted((r.id, r.cost) for r in paths.jump_table_costs(df, p).collect()),
+            sorted(map(tuple, hierarchies.freespace(arcs, own).collect())), sorted((r["node"], r["component"]) for r in graphs.strong_components(directed.selectExpr("*", "1L as cost")).collect()),
+        ]
+
+    want = all_of()
+    monkeypatch.setattr(search, "BROADCAST_ARCS", 3)
+    assert all_of() == want and want[6] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8)]
+
+
+def test_merged_boxes_cannot_be_joined_further(spark):
+    boxes = visibility.merged(visibility.rectangles(derived.cells(spark, SF)).selectExpr("'m' as map", "*")).collect()
+    right = {(r.x1, r.y1, r.y2) for r in boxes}
+    below = {(r.y1, r.x1, r.x2) for r in boxes}
+    assert not any((r.x2, r.y1, r.y2) in right or (r.y2, r.x1, r.x2) in below for r in boxes)
+
+
+def test_wide_maps_have_numbers_of_their_own(spark):
+    far = spark.createDataFrame([(65536, 0), (0, 1), (65537, 0), (1, 1)], "x long, y long")
+    assert far.select(paths.node("x", "y").alias("n")).distinct().count() == 4
+    assert sorted(r.cost for r in paths.numbered(far).collect()) == [10000] * 4
+
+
+def test_strategies_can_be_added(spark, monkeypatch):
+    from pathloom.plans import strategies
+
+    class Nothing:
+        def preprocess(self, cells):
+            return {"cells": cells}
+
+        def query(self, prepared, problems):
+            return problems.selectExpr("id", "7L as cost")
+
+    monkeypatch.setitem(strategies.ALGORITHMS, "nothing", Nothing())
+    p = spark.createDataFrame([(1, 0, 0)], "id long, source long, target long")
+    assert [tuple(r) for r in strategies.compared(p, derived.cells(spark, SF), ["nothing"]).collect()] == [("nothing", 1, 7)]
+    arcs = paths.numbered(derived.cells(spark, SF))
+    relation = strategies.RELATIONS["freespace"]
+    one = arcs.selectExpr("min(source) as source")
+    reached = relation.connect(arcs, one)
+    asked = reached.selectExpr("node as id", "source", "node as target")
+    assert reached.count() > 0 and relation.reachable(arcs, asked).where("not reachable").count() == 0
+
+
 def test_readers_refuse_bad_files(spark):
     texts = [("a", "type octile\nheight 2\nwidth 3\nmap\n...\n.@.\n"), ("b", "height 2\ntype octile\nwidth 3\nmap\n..\n.@.\n"), ("c", "type other\nheight 1\nwidth 1\nmap\n.\n"), ("d", "width 1\nheight 1\ntype octile\nmap\nG")]
     df = spark.createDataFrame(texts, "file string, value string")
