@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType
 
-from ..plans.scratch import clear as clear_scratch, numbered, root as scratch_root, spread_join, stored
+from ..plans.scratch import clear as clear_scratch, discard, numbered, root as scratch_root, spread_join, stored
 
-__all__ = ["batch_of", "clear_scratch", "give_back", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table", "tidy"]
+__all__ = ["batch_of", "clear_scratch", "discard", "give_back", "numbered", "pieces", "row_hashes", "scratch_root", "spread_join", "stored", "table", "tidy"]
 
 #: Bytes of text that a kernel turns into arrays at once; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
