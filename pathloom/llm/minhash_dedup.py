@@ -26,8 +26,8 @@ from ._text import U, mix, shingle_sets
 REGISTERS, BAND, MANTISSA, SHINGLE = 256, 8, 10, 5
 #: Standard errors that an estimate may lie below the limit before a candidate is dropped without a look at the sets.
 MARGIN = 4.5
-#: Rows of a block when all members of a band's bucket are compared.
-BLOCK = 1024
+#: Rows of a block's side, and shingles of them, when all members of a band's bucket are compared, and shingles at once.
+BLOCK, BLOCK_ITEMS, SLAB = 1024, 1 << 19, 2048
 
 @functools.cache
 def _deal() -> tuple[np.ndarray, np.ndarray]:
@@ -145,39 +145,96 @@ def _near(limit: float):
     return near
 
 
-def _block_pairs(limit: float):
-    """Candidates of different components in blocks that lie together in a sorted partition."""
-
-    def of(group: dict) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, REGISTERS)
-        ids, n, part, chunk = (np.array(group[c]) for c in ("node", "n_shingles", "component", "chunk"))
-        bands = band_keys(sig)
-        earlier = bands[:, : int(np.flatnonzero(bands[0] == group["key"][0])[0])]
-        i, j = group["i"][0], group["j"][0]
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
-        for x in left:
-            y = right[(part[right] != part[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            y = y[~(earlier[y] == earlier[x]).any(axis=1)]  # a pair counts in the first band that it shares
-            y = y[_passes(sig[x], sig[y], n[x], n[y], limit)] if len(y) else y
-            a += [ids[x]] * len(y)
-            b += ids[y].tolist()
-        return batch_of(_PAIRS, a, b)
-
-    def block_pairs(batches):
-        names, key, held = ("key", "i", "j", "chunk", "node", "n_shingles", "component", "sig"), None, None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if row[:3] != key:
-                    if held:
-                        yield of(held)
-                    key, held = row[:3], {c: [] for c in names}
-                for c, v in zip(names, row):
-                    held[c].append(v)
-        if held:
-            yield of(held)
+def _blocks(batches):
+    """The rows of each (key, i, j) that lie together in a sorted partition, as columns."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.any([r[1:] != r[:-1] for r in rows], axis=0)) + 1
+        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = batch.slice(at, to - at)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_members(limit: float):
+    """Of each block the members that may link to one of another component, a row each however many such links there are."""
+
+    def block_members(batches):
+        for block in _blocks(batches):
+            sig = _rows(pa.concat_arrays(block.column("sig").chunks))
+            ids, n, part, chunk = (block.column(c).to_numpy() for c in ("node", "n_shingles", "component", "chunk"))
+            key, i, j = (block.column(c)[0].as_py() for c in ("key", "i", "j"))
+            bands = band_keys(sig)
+            earlier = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
+            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            may = np.zeros(len(ids), bool)
+            for x in left:
+                y = right[(part[right] != part[x]) & ((ids[right] > ids[x]) if i == j else True)]
+                y = y[~(earlier[y] == earlier[x]).any(axis=1)]  # a pair counts in the first band that it shares
+                y = y[_passes(sig[x], sig[y], n[x], n[y], limit)] if len(y) else y
+                may[y], may[x] = True, may[x] or len(y) > 0
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(block.column(c).chunks).filter(pa.array(may)) for c in _MEMBERS.names], schema=_MEMBERS)
+
+    return block_members
+
+
+_MEMBERS = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("chunk", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b. Only items that several sets hold can count; SLAB of them
+    at a time are the columns of two matrices of presence, whose product has the shares of all pairs."""
+    sets = a + b
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(items, return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    keep = several[code]
+    code, owner = number[code[keep]], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, int(several.sum()), SLAB):
+        at, to = np.searchsorted(code, [first, first + SLAB])
+        there = np.zeros((len(sets), SLAB), np.float32)  # sums of ones stay far below 2^24
+        there[owner[at:to], code[at:to] - first] = 1
+        out += (there[: len(a)] @ there[len(a) :].T).astype(np.int64)
+    return out
+
 
-    return block_pairs
+def _block_links(num: int, den: int):
+    """The links inside each block, of full sets: a row for each member that links, with the least that it reaches there."""
+
+    def block_links(batches):
+        for block in _blocks(batches):
+            ids, part, chunk = (block.column(c).to_numpy() for c in ("node", "component", "chunk"))
+            sets = [x.values.to_numpy() for x in pa.concat_arrays(block.column("items").chunks)]
+            i, j = (block.column(c)[0].as_py() for c in ("i", "j"))
+            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            if not len(left) or not len(right):
+                continue
+            both = common([sets[x] for x in left], [sets[x] for x in right])
+            n = np.array([len(x) for x in sets], np.int64)
+            union = n[left][:, None] + n[right][None, :] - both
+            link = (den * both >= num * union) & (part[left][:, None] != part[right][None, :])
+            low = ids.copy()  # the least reached so far
+            while True:
+                old = low.copy()
+                big = np.iinfo(np.int64).max
+                low[left] = np.minimum(low[left], np.where(link, low[right][None, :], big).min(axis=1))
+                low[right] = np.minimum(low[right], np.where(link, low[left][:, None], big).min(axis=0))
+                if (old == low).all():
+                    break
+            yield batch_of(_PAIRS, low[low < ids], ids[low < ids])
+
+    return block_links
 
 
 def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -211,11 +268,10 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
             out = spread_join(out, own, [c], pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), n, ["a", "b"])
         return out
 
-    def confirm(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the pairs. Sets are compared by functions of the engine, one row at a time, however long they are."""
-        pairs = stored(pairs, name, None if estimated else n_rows)
-        if not estimated:
-            pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidy(_near(limit)), "a long, b long"), name, pairs.count())
+        pairs = stored(pairs, name, n_rows)
+        pairs = stored(attached(pairs, sigs).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidy(_near(limit)), "a long, b long"), name, pairs.count())
         both, n_a, n_b = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a").cast("long"), F.size("items_b").cast("long")
         out = attached(pairs, sets).where(den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)).where(den * both >= num * (n_a + n_b - both))
         return stored(out.select("a", "b"), f"{name}-links", pairs.count())
@@ -238,12 +294,18 @@ def _grouped(texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
         found = components(links.toDF("u", "v"), links.count())
         left = open_buckets(found)
     if not left.isEmpty():
-        chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks = left.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        blocks = blocks.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).join(classes.select("node", "n_shingles", "sig"), "node")
+        with_sig = left.join(classes.select("node", "n_shingles", "sig"), "node")
+        weight = left.join(classes.select("node", "n_shingles"), "node").groupBy("key").agg(F.sum("n_shingles").alias("items"))
+        chunks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+        blocks = spread_join(with_sig, weight, ["key"], shared, n_rows, ["node"]).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        blocks = blocks.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
         blocks = blocks.select("key", "i", "j", "chunk", "node", "n_shingles", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = blocks.mapInArrow(_block_pairs(limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(confirm(pairs, "blocks", True))
+        members = stored(blocks.mapInArrow(tidy(_block_members(limit)), "key long, i int, j int, chunk int, node long, component long"), "candidates")
+        n_members = members.count()
+        full = spread_join(members, sets, ["node"], members.groupBy("node").agg(F.count(F.lit(1)).alias("n")), n_members, ["key", "i", "j"])
+        full = full.select("key", "i", "j", "chunk", "node", "component", "items").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        linked = full.mapInArrow(tidy(_block_links(num, den)), "a long, b long").distinct()
+        links = links.unionByName(stored(linked, "block-links", n_members))
         found = components(links.toDF("u", "v"), links.count())
     own = stored(found.join(classes.select("node", "low"), "node"), "found", n_sets)
     lows = own.groupBy("component").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n"))
@@ -266,7 +328,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     the smallest doc_id reachable. Documents with equal sets form a class, so exact copies never meet in pairs. Within a
     band's bucket each member is compared with one pivot, the smallest first and a random one next, which joins most of a
     group by as many pairs as it has members; only buckets that still hold several components are compared in blocks, in
-    all pairs of different components, so no candidate goes unseen. Keys of many rows, such as a pivot, a bucket or a set
+    all pairs of different components, so no candidate goes unseen; a block gives a row per member, not per pair. Keys of many rows, such as a pivot, a bucket or a set
     that a third of all documents hold, are dealt out to many tasks.
 
     Whole texts count, however long. A null or wordless text has no shingles and links with nothing. A null doc_id has a

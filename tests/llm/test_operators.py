@@ -593,3 +593,29 @@ def test_models_do_not_depend_on_partitions(spark, docs, labels):
         made = (str(quality_rules.fit(quality_rules.rated(d, lab).drop("rule"), lab, few)), toxicity.fit(d, lab, few).weights.tolist(), langid.fit(d, few).weights.sum(axis=0).tolist())
         first = made if n == 2 else first
     assert first == made
+
+
+def test_common_is_exact(monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SLAB", 7)
+    g = np.random.default_rng(4)
+    a, b = ([np.unique(g.integers(0, 60, g.integers(0, 40))) for _ in range(n)] for n in (9, 6))
+    assert minhash_dedup.common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("n", [120, 360])
+def test_pages_of_a_template_give_a_row_per_member(spark, n, monkeypatch):
+    """300 common and 35 own words: all pairs pass the estimate, none links; chains of pages that do link are found."""
+    page = " ".join(f"t{i}" for i in range(300))
+    rows = {k: page + " " + " ".join(f"p{k}x{i}" for i in range(35)) for k in range(n)}
+    for k in range(n, n + 20):  # each links to the one before, which no pivot does
+        rows[k] = page + " " + " ".join(f"q{i}" for i in range(3 * (k - n), 3 * (k - n) + 35))
+    written = {}
+    real = minhash_dedup.stored
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name="t", rows=None: written.setdefault(name, []).append(out := real(df, name, rows)) or out)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 64)
+    docs = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {k: min(k, n) for k in rows}
+    chunks, bands = -(-len(rows) // 64), minhash_dedup.REGISTERS // minhash_dedup.BAND
+    assert max(df.count() for dfs in written.values() for df in dfs) <= len(rows) * (chunks + 1) * bands
+    assert sum(df.count() for name in ("star", "again", "block-links") for df in written[name]) <= 6 * len(rows) * bands
