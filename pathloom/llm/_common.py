@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import MapType
 
 from ..plans.scratch import clear as clear_scratch, discard, numbered, root as scratch_root, spread_join, stored
 
@@ -19,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
-    """128 bits that tell rows apart by all their columns, maps left out."""
-    names = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    """128 bits that tell rows apart by all their columns; what holds a map, which has no hash, counts as its JSON."""
+    names = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
     return F.xxhash64(*names), F.xxhash64(F.lit(1), *names)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import numbered, spread_join, stored
+from ._common import numbered, row_hashes, spread_join, stored
 
 WINDOW, DIVISOR = 2, 3
 #: Characters from which a line is a chunk of its own, and a repeated chunk of one line goes.
@@ -190,10 +190,11 @@ def deduplicated(docs: DataFrame, long: int = LONG, run_words: int | None = None
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of docs can clash
     named = docs.where("doc_id is not null").select(row, "text", *_document(), F.lit(False).alias("_again"))
     # equal rows without an id are numbered, and all but one of those with one text are repeats
-    bare = numbered(docs.where("doc_id is null").select(row, "text"))
-    kept = F.min(F.struct(F.xxhash64("row"), "_copy"))
+    h, g = row_hashes(docs)
+    bare = numbered(docs.where("doc_id is null").select(row, "text", h.alias("_h"), g.alias("_g")))
+    kept = F.min(F.struct("_h", "_g", "_copy"))
     first = bare.groupBy(F.xxhash64("text").alias("_text")).agg(kept.alias("kept"), F.count(F.lit(1)).alias("n"))
-    bare = spread_join(bare.withColumn("_text", F.xxhash64("text")).withColumn("_own", F.struct(F.xxhash64("row"), F.col("_copy"))), first.select("_text", "kept"), ["_text"], first, docs.where("doc_id is null").count(), ["_own"])
+    bare = spread_join(bare.withColumn("_text", F.xxhash64("text")).withColumn("_own", F.struct("_h", "_g", "_copy")), first.select("_text", "kept"), ["_text"], first, docs.where("doc_id is null").count(), ["_own"])
     bare = bare.select("row", "text", F.lit(_LAST).alias("_id"), "_text", (F.col("_own") != F.col("kept")).alias("_again"))
     joined = named.unionByName(bare).join(lost, ["_id", "_text"], "left")
     if run_words:

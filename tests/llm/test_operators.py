@@ -619,3 +619,14 @@ def test_pages_of_a_template_give_a_row_per_member(spark, n, monkeypatch):
     chunks, bands = -(-len(rows) // 64), minhash_dedup.REGISTERS // minhash_dedup.BAND
     assert max(df.count() for dfs in written.values() for df in dfs) <= len(rows) * (chunks + 1) * bands
     assert sum(df.count() for name in ("star", "again", "block-links") for df in written[name]) <= 6 * len(rows) * bands
+
+
+def test_columns_that_hold_maps_come_back(spark):
+    schema = "doc_id long, text string, lang string, source string, m map<string,int>, deep array<struct<x:map<string,int>>>"
+    text = "one line of words\nanother line of words\na third line of words\nand the fourth line of words"
+    rows = [(i, text if i is None or i < 3 else f"text {i}", "en", "a", {"k": i or 0}, [({"z": 1},)]) for i in (1, 2, 3, None)] + [(None, text, "en", "a", {"k": 9}, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for out in (line_dedup.deduplicated(docs, run_words=20), minhash_dedup.deduplicated(docs), mixing.mixture(docs)):
+        assert out.select(docs.columns).dtypes == docs.dtypes
+        assert all(r.m is not None for r in out.collect())
+    assert sorted(len(r.text) for r in line_dedup.deduplicated(docs, run_words=20).where("doc_id is null").collect())[0] < len(text)

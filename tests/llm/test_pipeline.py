@@ -34,7 +34,7 @@ def test_stages(spark):
 
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
-    assert sorted({k.split("_")[0] for k in QUERIES if k.startswith("op")}, key=lambda k: int(k[2:])) == [f"op{n}" for n in range(1, 11)]
+    assert sorted({k.split("_")[0] for k in QUERIES if k.startswith("op")}, key=lambda k: int(k[2:])) == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
 
 
