@@ -25,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found first, by doc_id, stays; null ids come last. Null and empty texts stay as they are, rows equal in id and text
     lose the same, rows that share only the id are told apart, whole texts count, and an empty table stays empty."""
     out = line_dedup.deduplicated(docs, run_words=line_dedup.RUN_WORDS)
-    out = out.where((F.col("removed_lines") == 0) | (F.length(F.trim("text")) > 0))
+    out = out.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
