@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import visibility as V
+from ..operators import intervals as I, visibility as V
 from ..plans import derived as D
 
 
@@ -21,8 +21,16 @@ def _merged_cells(s, d) -> DataFrame:
     return rows.select("map", "x", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"))
 
 
+def _taut_arcs(s, d) -> DataFrame:
+    """The arcs between corners on different lines that a taut path may use at both ends."""
+    none = D.cells(s, d).select("x", "y").where("x < 0")
+    return I.sight_arcs(D.cells(s, d), none, none).where("y <> ty").select("x", "y", "tx", "ty", F.round("length", 6).alias("length"))
+
+
 QUERIES = {
-    "pg36_any_angle_length": lambda s, d: V.any_angle(D.cells(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length"), F.size("points").alias("points")),
+    "pg36_any_angle_length": lambda s, d: V.any_angle(D.cells(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length")),
+    "pg37_interval_length": lambda s, d: I.interval_lengths(D.cells(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length")),
+    "fl09_taut_arcs": _taut_arcs,
     "pg41_any_angle_polyline": lambda s, d: V.any_angle(D.cells(s, d), D.problems(s, d)).select("id", F.posexplode("points").alias("k", "p")).select("id", "k", "p.x", "p.y"),
     "or06_rectangles": lambda s, d: V.rectangles(D.cells(s, d)),
     "or07_merged_boxes": lambda s, d: _merged_cells(s, d),
@@ -30,7 +38,37 @@ QUERIES = {
     "pg42_rectangle_mesh": lambda s, d: V.neighbours(V.rectangles(D.cells(s, d))),
 }
 _RECT = D.CELLS_SQL + ", r0 AS (SELECT y, min(x) AS x1, max(x)+1 AS x2 FROM (SELECT x, y, x - row_number() OVER (PARTITION BY y ORDER BY x) AS run FROM cells) GROUP BY y, run), rect AS (SELECT x1, min(y) AS y1, x2, max(y)+1 AS y2 FROM (SELECT *, y - row_number() OVER (PARTITION BY x1, x2 ORDER BY y) AS st FROM r0) GROUP BY x1, x2, st)"
+# Sight lines between points by their definition: no blocked cell is crossed, no step leads between two blocked cells, and no
+# point is passed where two blocked cells touch corner to corner.
+_SIGHT = (
+    D.CELLS_SQL + ", pt AS (SELECT x, y, sum(bit)::INT AS near FROM (SELECT x + a AS x, y + b AS y, bit FROM cells CROSS JOIN (VALUES (0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)) t(a, b, bit)) GROUP BY 1, 2), co AS (SELECT x, y, CASE WHEN near IN (14, 7) THEN 1 ELSE -1 END AS turn FROM pt WHERE near IN (7, 11, 13, 14)), pinch AS (SELECT x, y FROM pt WHERE near IN (6, 9)), "
+    "sq AS (SELECT a.range AS x, b.range AS y FROM range(-1, 33) a CROSS JOIN range(-1, 33) b), bl AS (SELECT x, y FROM sq ANTI JOIN cells USING (x, y)), up AS (SELECT l.x, l.y FROM bl l JOIN bl r ON r.x = l.x - 1 AND r.y = l.y), flat AS (SELECT l.x, l.y FROM bl l JOIN bl r ON r.x = l.x AND r.y = l.y - 1)"
+)
+
+
+def _sees(pairs: str) -> str:
+    """The pairs (x, y, tx, ty) that see each other."""
+    cross = lambda a, b: f"((tx - q.x) * (bl.y + {b} - q.y) - (ty - q.y) * (bl.x + {a} - q.x))"
+    sides = [cross(a, b) for a in (0, 1) for b in (0, 1)]
+    inside = " AND ".join(f"least(q.{c}, t{c}) < bl.{c} + 1 AND greatest(q.{c}, t{c}) > bl.{c}" for c in "xy")
+    return (
+        f"SELECT q.* FROM {pairs} q ANTI JOIN bl ON {inside} AND least({', '.join(sides)}) < 0 AND greatest({', '.join(sides)}) > 0 "
+        "ANTI JOIN up ON q.x = tx AND up.x = tx AND up.y >= least(q.y, ty) AND up.y < greatest(q.y, ty) ANTI JOIN flat ON q.y = ty AND flat.y = ty AND flat.x >= least(q.x, tx) AND flat.x < greatest(q.x, tx) "
+        "ANTI JOIN pinch ON (pinch.x - q.x) * (ty - q.y) = (pinch.y - q.y) * (tx - q.x) AND pinch.x BETWEEN least(q.x, tx) AND greatest(q.x, tx) AND pinch.y BETWEEN least(q.y, ty) AND greatest(q.y, ty) AND (pinch.x, pinch.y) <> (q.x, q.y) AND (pinch.x, pinch.y) <> (tx, ty)"
+    )
+
+
+_LINE = "sqrt(((tx - x) * (tx - x) + (ty - y) * (ty - y))::DOUBLE)"
+_ANY_ANGLE = (
+    f"WITH RECURSIVE {_SIGHT}, {D.PROBLEMS_SQL}, ends AS (SELECT sx AS x, sy AS y FROM problems UNION SELECT gx, gy FROM problems UNION SELECT x, y FROM co), p1 AS (SELECT ends.x, ends.y, co.x AS tx, co.y AS ty FROM ends JOIN co ON (ends.x, ends.y) <> (co.x, co.y)), v AS MATERIALIZED ({_sees('p1')}), w AS (SELECT *, {_LINE} AS len FROM v), "
+    f"p2 AS (SELECT DISTINCT sx AS x, sy AS y, gx AS tx, gy AS ty FROM problems JOIN pt ON pt.x = sx AND pt.y = sy), v2 AS ({_sees('p2')}), wc AS (SELECT w.* FROM w JOIN co USING (x, y)), st AS (SELECT DISTINCT sx, sy FROM problems), "
+    "k(sx, sy, x, y, c) USING KEY (sx, sy, x, y) AS (SELECT sx, sy, tx, ty, len FROM w JOIN st ON x = sx AND y = sy UNION SELECT k.sx, k.sy, wc.tx, wc.ty, min(k.c + wc.len) FROM k JOIN wc ON wc.x = k.x AND wc.y = k.y LEFT JOIN recurring.k r ON r.sx = k.sx AND r.sy = k.sy AND r.x = wc.tx AND r.y = wc.ty WHERE k.c + wc.len < coalesce(r.c, 1e9) - 1e-9 GROUP BY 1, 2, 3, 4), "
+    f"g AS (SELECT sx, sy, w.x AS gx, w.y AS gy, c + len AS c FROM (SELECT DISTINCT sx, sy, gx, gy FROM problems) p JOIN w ON w.x = gx AND w.y = gy JOIN k USING (sx, sy) WHERE k.x = w.tx AND k.y = w.ty UNION ALL SELECT x, y, tx, ty, {_LINE} FROM v2 UNION ALL SELECT sx, sy, x, y, c FROM k), m AS (SELECT sx, sy, gx, gy, min(c) AS c FROM g GROUP BY ALL) SELECT id, round(c, 6) AS length FROM problems LEFT JOIN m USING (sx, sy, gx, gy)"
+)
 ORACLES = {
+    "pg36_any_angle_length": _ANY_ANGLE,
+    "pg37_interval_length": _ANY_ANGLE,
+    "fl09_taut_arcs": f"WITH {_SIGHT}, p AS (SELECT a.x, a.y, b.x AS tx, b.y AS ty FROM co a JOIN co b ON a.y <> b.y AND (b.x - a.x) * (b.y - a.y) * a.turn <= 0 AND (b.x - a.x) * (b.y - a.y) * b.turn <= 0), v AS ({_sees('p')}) SELECT x, y, tx, ty, round({_LINE}, 6) AS length FROM v",
     "or06_rectangles": f"WITH {_RECT} SELECT * FROM rect",
     "or07_merged_boxes": f"WITH {D.CELLS_SQL} SELECT m AS map, x + off AS x, y FROM cells CROSS JOIN (VALUES ('strips', 0), ('squares', 100)) t(m, off)",
     "jn08_point_location": f"WITH {_RECT}, {D.PROBLEMS_SQL}, p AS (SELECT id, (sx*32+gy)/32.0::DOUBLE AS x, (sy*32+gx)/32.0::DOUBLE AS y FROM problems) SELECT id, x1, y1, CASE WHEN (x = x1 OR x = x2) AND (y = y1 OR y = y2) THEN 'corner' WHEN x = x1 OR x = x2 OR y = y1 OR y = y2 THEN 'edge' ELSE 'inside' END AS state FROM p JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2",
