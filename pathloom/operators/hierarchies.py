@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import octile
 from ..plans import search
+from ..plans.scratch import discard
 from . import grid as G, visibility as V
 from .paths import WIDTH, _octile, node, numbered, solved
 
@@ -130,30 +131,51 @@ def rectangle_graph(cells: DataFrame) -> DataFrame:
     return across.unionByName(moves)
 
 
-def followed(problems: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(id, cost, steps) of problems (id, source, target): from each node the first move towards the target is taken, the
-    least neighbour on a shortest path, until it is there. Nodes that do not reach their target give no row."""
-    todo = problems.select("source", "target").distinct().groupBy("target").agg(F.collect_set("source").alias("sources"))
-
-    def kernel(graph: search.Graph, batch: pd.DataFrame) -> pd.DataFrame:
-        back = graph.__dict__.get("back")
-        if back is None:
-            flat = [(b, a, c) for a, v in graph.out.items() for b, c in v]
-            back = graph.__dict__["back"] = search.Graph(*map(list, zip(*flat)))
-        rows = []
-        for target, sources in zip(batch["target"].tolist(), batch["sources"]):
-            left = back.distances(target)
-            for s in sources:
-                n, cost, steps = int(s), 0, 0
-                while n in left and n != target:
-                    n, c = min((t, c) for t, c in graph.out.get(n, ()) if t in left and c + left[t] == left[n])
-                    cost, steps = cost + c, steps + 1
-                if n == target:
-                    rows.append((int(s), target, cost, steps))
-        return pd.DataFrame(rows, columns=["source", "target", "cost", "steps"])
-
-    got = search.mapped(todo, arcs, "source long, target long, cost long, steps long", kernel)
-    return problems.join(got, ["source", "target"]).select("id", "cost", "steps")
+#: Ranks of a bin, by which runs of a first-move table meet the targets that are asked for.
+RUN_BIN = 16
+
+
+def looked_up(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node, target, move) of a first-move table (source, run_begin, move), in which a row holds from its target on to the
+    next row's, for each of `targets` (target). Runs become ranges of whole ranks, and these and the targets meet by bins."""
+    after = F.lead("run_begin").over(Window.partitionBy("source").orderBy("run_begin"))
+    ends = search.scratch(runs.select("source", "move", F.col("run_begin").alias("begin"), after.alias("end")))
+    known = ends.select(F.col("begin").alias("node")).unionByName(targets.select(F.col("target").alias("node"))).distinct()
+    ranks = search.scratch(G.ranked(known))
+    rank = lambda name, to: ranks.select(F.col("node").alias(name), F.col("rank").alias(to))
+    last = ranks.agg(F.coalesce(F.max("rank"), F.lit(-1))).first()[0]
+    ranges = ends.join(rank("begin", "from"), "begin").join(rank("end", "to"), "end", "left").withColumn("to", F.coalesce(F.col("to") - 1, F.lit(last)))
+    ranges = ranges.withColumn("bin", F.explode(F.sequence(F.expr(f"from div {RUN_BIN}"), F.expr(f"to div {RUN_BIN}"))))
+    asked = targets.distinct().join(rank("target", "r"), "target").withColumn("bin", F.expr(f"r div {RUN_BIN}"))
+    return ranges.join(asked, "bin").where("r between from and to").select(F.col("source").alias("node"), "target", "move")
+
+
+def followed(problems: DataFrame, runs: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, cost, steps) of problems (id, source, target) by a first-move table as run lengths (source, run_begin, move), over
+    undirected arcs. No path is searched: the moves towards all targets asked for are looked up, and the table of them is
+    composed with itself, so that each round doubles the steps that a row stands for; rounds are as many as the binary
+    digits of the longest path. Problems without a path give no row."""
+    arcs = search.scratch(arcs.select("source", "target", "cost"))
+    asked = search.scratch(problems.select("source", "target").distinct())
+    targets = asked.select("target").distinct()
+    nodes = arcs.select(F.col("source").alias("node")).unionByName(asked.select(F.col("target").alias("node"))).distinct()
+    parts = search.scratch(search.components(arcs, nodes))
+    moves = looked_up(runs, targets).where("node <> target").join(arcs.select(F.col("source").alias("node"), F.col("target").alias("move"), "cost"), ["node", "move"])
+    # a run also spans targets that its node does not reach
+    moves = moves.join(parts.withColumnRenamed("component", "part"), "node").join(parts.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").where("part = other")
+    names = ["node", "target", "move", "cost", "steps"]
+    table = search.scratch(moves.withColumn("steps", F.lit(1).cast("long")).select(names))
+    while True:
+        way = table.where("move <> target")
+        if way.join(asked.withColumnRenamed("source", "node"), ["node", "target"], "left_semi").isEmpty():
+            break
+        ahead = table.select(F.col("node").alias("move"), "target", F.col("move").alias("then"), F.col("cost").alias("more"), F.col("steps").alias("rest"))
+        far = way.join(ahead, ["move", "target"]).select("node", "target", F.col("then").alias("move"), (F.col("cost") + F.col("more")).alias("cost"), (F.col("steps") + F.col("rest")).alias("steps"))
+        before, table = table, search.scratch(table.where("move = target").unionByName(far))
+        discard(before)
+    found = table.where("move = target").select(F.col("node").alias("source"), "target", "cost", "steps")
+    same = asked.where("source = target").select("source", "target", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("steps"))
+    return problems.join(found.unionByName(same), ["source", "target"]).select("id", "cost", "steps")
 
 
 def generated(cells: DataFrame, arcs: DataFrame, count: int) -> DataFrame:

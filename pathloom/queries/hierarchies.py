@@ -22,12 +22,23 @@ def _rsr(s, d) -> DataFrame:
     return far.select((F.col("node") % P.WIDTH).alias("x"), F.expr(f"node div {P.WIDTH}").alias("y"), "cost")
 
 
+def _table(s, d) -> DataFrame:
+    """The first moves of all open cells, as run lengths."""
+    return P.run_lengths(P.first_moves(D.cells(s, d).select(P.node("x", "y").alias("source")), Q._arcs(s, d)))
+
+
+def _followed(s, d) -> DataFrame:
+    return K.followed(Q._problems(s, d), _table(s, d), Q._arcs(s, d)).select("id", "cost")
+
+
 def _refined_legs(s, d) -> DataFrame:
-    """Unit moves of the paths over subgoals, counted and summed again."""
-    found = K.subgoal_costs(Q._problems(s, d), Q._subgoal_nodes(s, d), Q._arcs(s, d)).where("cost is not null")
-    legs = found.select("id", F.posexplode(F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "leg"))
-    each = legs.select("id", "leg.a", "leg.b").select("id", K._straight("a", "b").cast("long").alias("cost"))
-    return found.select("id").join(each.groupBy("id").agg(F.sum("cost").alias("cost")), "id", "left").select("id", F.coalesce("cost", F.lit(0)).alias("cost"))
+    """Paths over subgoals refined: the unit moves of each leg are followed and their costs summed."""
+    found = search.scratch(K.subgoal_costs(Q._problems(s, d), Q._subgoal_nodes(s, d), Q._arcs(s, d)).where("cost is not null").select("id", "path"))
+    legs = found.select("id", F.posexplode(F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("source"), b.alias("target")))).alias("k", "leg"))
+    legs = search.scratch(legs.select(F.col("id").alias("path"), "leg.source", "leg.target"))
+    each = K.followed(legs.select("source", "target").distinct().select(F.struct("source", "target").alias("id"), "source", "target"), _table(s, d), Q._arcs(s, d))
+    each = legs.join(each.select("id.source", "id.target", "cost"), ["source", "target"]).groupBy("path").agg(F.sum("cost").alias("cost"))
+    return found.select(F.col("id").alias("path")).join(each, "path", "left").select(F.col("path").alias("id"), F.coalesce("cost", F.lit(0)).alias("cost"))
 
 
 def _halves(s, d) -> DataFrame:
@@ -75,7 +86,7 @@ QUERIES = {
     "pg34_subgoal_cost": lambda s, d: K.subgoal_costs(Q._problems(s, d), Q._subgoal_nodes(s, d), Q._arcs(s, d)).where("cost is not null").select("id", "cost"),
     "pg34_refined_legs": _refined_legs,
     "pg05_graph_search_cost": lambda s, d: P.solved(Q._problems(s, d), Q._arcs(s, d), "astar", scale=0).where("cost is not null").select("id", "cost"),
-    "pg44_followed_cost": lambda s, d: K.followed(Q._problems(s, d), Q._arcs(s, d)).select("id", "cost"),
+    "pg44_followed_cost": lambda s, d: _followed(s, d),
     "pg45_generated_problems": lambda s, d: K.generated(D.cells(s, d), Q._arcs(s, d), 2000),
     "plugin_costs": lambda s, d: strategies.compared(Q._problems(s, d), D.cells(s, d)),
     "st04_joined_rows": _halves,

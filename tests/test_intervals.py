@@ -45,3 +45,25 @@ def test_no_cells_and_no_problems(spark):
     assert [tuple(r) for r in intervals.interval_lengths(own, asked).collect()] == [(1, None, None)]
     own, asked = tables(spark, [(0, 0)], [])
     assert intervals.interval_lengths(own, asked).count() == 0
+
+
+def test_followed_moves_are_shortest_paths(spark):
+    from pathloom.operators import hierarchies, paths
+    from pathloom.plans import search
+
+    r = random.Random(5)
+    cells = {(x, y) for x in range(9) for y in range(9) if r.random() < 0.65}
+    own = spark.createDataFrame(sorted(cells), "x long, y long")
+    arcs = paths.numbered(own)
+    nodes = [y * paths.WIDTH + x for x, y in sorted(cells)]
+    problems = [(i, r.choice(nodes), r.choice(nodes)) for i in range(150)] + [(500, nodes[0], nodes[0]), (501, 10**12, nodes[0])]
+    table = paths.run_lengths(paths.first_moves(spark.createDataFrame([(n,) for n in nodes], "source long"), arcs))
+    got = {x.id: (x.cost, x.steps) for x in hierarchies.followed(spark.createDataFrame(problems, "id long, source long, target long"), table, arcs).collect()}
+    graph = search.Graph(*search.collected(arcs))
+    min_step, max_step = (f(c for v in graph.out.values() for _, c in v) for f in (min, max))
+    for i, s, t in problems:
+        cost, path, _ = graph.search(s, t)
+        assert (got.get(i) or (None,))[0] == cost, (i, s, t)
+        if cost:
+            assert graph.out and got[i][1] * min_step <= cost <= got[i][1] * max_step
+
