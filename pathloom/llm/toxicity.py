@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import batch_of, give_back, pieces, tidy
+from ._common import batch_of, pieces, tidy
 from ._text import raw, runs, span_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose doc_id has the least hash, a text for each.
@@ -87,22 +87,33 @@ def _sample(batches):
             yield batch_of(_SAMPLE, part.column("toxic").cast(pa.int32()), hashes, values)
 
 
+_MODEL = pa.schema([("features", pa.binary()), ("weights", pa.binary()), ("thresholds", pa.binary())])
+
+
+def _fitted(batches):
+    toxic, hashes, values = [], [], []
+    for batch in batches:
+        toxic += batch.column("toxic").to_pylist()
+        hashes += [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("hashes")]
+        values += [np.frombuffer(v.as_buffer(), np.float32) for v in batch.column("values")]
+    model = fit_sample(np.array(toxic, np.int64), hashes, values)
+    yield batch_of(_MODEL, [model.features.astype(np.uint64).tobytes()], [model.weights.tobytes()], [model.thresholds.tobytes()])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits on at most `max_rows` labelled texts. Labels say toxic or not; grades of toxic texts are the terciles of
-    how dense the features are that most set toxic texts apart."""
+    """Fits on at most `max_rows` labelled texts, in one task that sees no other texts; the driver gets the model alone, of at
+    most MAX_FEATURES weights. Labels say toxic or not; grades of toxic texts are the terciles of how dense the features are
+    that most set toxic texts apart."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # of rows that repeat an id
     rows = rows.withColumn("at", first).where("at = 1").select("text", "toxic")
-    got = rows.mapInArrow(tidy(_sample), "toxic int, hashes binary, values binary").toArrow()
-    toxic = np.array(got.column("toxic").to_pylist(), np.int64)
-    hashes = [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("hashes")]
-    values = [np.frombuffer(v.as_buffer(), np.float32) for v in got.column("values")]
-    model = fit_sample(toxic, hashes, values)
-    del got, hashes, values
-    give_back()
-    return model
+    sample = rows.mapInArrow(tidy(_sample), "toxic int, hashes binary, values binary")
+    got = sample.repartition(1).mapInArrow(tidy(_fitted), "features binary, weights binary, thresholds binary").collect()
+    if not got:  # no task ran, as there was nothing to learn from
+        return fit_sample(np.zeros(0, np.int64), [], [])
+    return Model(np.frombuffer(got[0].features, np.uint64), np.frombuffer(got[0].weights, np.float64), np.frombuffer(got[0].thresholds, np.float64))
 
 
 #: Places that features are summed at first, before the few that matter are told apart by their whole hash.
