@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import graphs as H, grid as G, hierarchies as K, paths as P, visibility as V
+from ..operators import contraction as R, graphs as H, grid as G, hierarchies as K, paths as P, visibility as V
 from ..plans import derived as D, search, strategies
 from . import grid as GQ, paths as Q
 from .grid import BASE
@@ -82,6 +82,7 @@ QUERIES = {
     "pg18_cluster_cost": lambda s, d: K.cluster_costs(Q._problems(s, d), D.cells(s, d)).where("cost is not null"),
     "pg20_rectangle_cost": _rsr,
     "pg25_unpacked_hierarchy_cost": _unpacked_cost,
+    "pg26_level_cost": lambda s, d: R.level_costs(Q._problems(s, d), Q._subgoal_nodes(s, d), Q._arcs(s, d), most=5),
     "pg33_h_reachable": lambda s, d: K.h_reachable(Q._problems(s, d), Q._arcs(s, d)),
     "pg34_subgoal_cost": lambda s, d: K.subgoal_costs(Q._problems(s, d), Q._subgoal_nodes(s, d), Q._arcs(s, d)).where("cost is not null").select("id", "cost"),
     "pg34_refined_legs": _refined_legs,
@@ -102,7 +103,7 @@ _OCT2 = "least(abs({a}%2147483648 - {b}%2147483648), abs({a}//2147483648 - {b}//
 _RANKED = "rk AS (SELECT y*2147483648+x AS node, row_number() OVER (ORDER BY y*2147483648+x) - 1 AS rank FROM cells)"
 ORACLES = {
     "pg02_weighted_astar_cost": f"WITH RECURSIVE {D.WEIGHTED_SQL}, {Q._WA.rsplit(', src AS', 1)[0]}, {_PROB.replace('cells', 'wcells')}, {Q._PSRC}, {_FIX} SELECT id, cost FROM pr JOIN d ON d.s = source AND d.n = target",
-    **{k: _COST for k in ("pg18_cluster_cost", "pg25_unpacked_hierarchy_cost", "pg34_subgoal_cost", "pg34_refined_legs", "pg05_graph_search_cost", "pg44_followed_cost")},
+    **{k: _COST for k in ("pg18_cluster_cost", "pg25_unpacked_hierarchy_cost", "pg26_level_cost", "pg34_subgoal_cost", "pg34_refined_legs", "pg05_graph_search_cost", "pg44_followed_cost")},
     "pg20_rectangle_cost": f"{_R}, {_BOX}, {_CUT}, {_FIRST}, {_FIX} SELECT x, y, cost FROM (SELECT n % 2147483648 AS x, n // 2147483648 AS y, cost FROM d) WHERE {_EDGE}",
     "pg33_h_reachable": f"{_R}, {_N}, {_PROB}, {Q._PSRC}, {_FIX} SELECT id, COALESCE(cost = {_OCT2.format(a='source', b='target')}, false) AS reachable FROM pr LEFT JOIN d ON d.s = source AND d.n = target",
     "pg45_generated_problems": f"{_R}, {_N}, {_RANKED}, k AS (SELECT count(*) AS n FROM cells), pairs AS (SELECT i AS id, a.node AS source, b.node AS target FROM range(2000) t(i) CROSS JOIN k JOIN rk a ON a.rank = i*7919 % n JOIN rk b ON b.rank = (i*104729 + 13) % n WHERE a.node <> b.node), src AS (SELECT DISTINCT source AS s FROM pairs), {_FIX} SELECT id, source, target, cost FROM pairs JOIN d ON d.s = source AND d.n = target",

@@ -2,7 +2,7 @@
 
 import random
 
-from pathloom.operators import abstraction, paths
+from pathloom.operators import abstraction, contraction, grid, hierarchies, paths
 from pathloom.plans import search
 from pathloom.streaming import contention
 
@@ -55,3 +55,24 @@ def test_the_first_by_clock_takes_the_cell(spark):
     wish = spark.createDataFrame([("random", 1, 5, 0, 1, 0, 2, 10000), ("random", 2, 0, 0, 1, 0, 6, 10000)], "policy string, unit long, clock long, k int, x2 long, y2 long, d2 long, cost long")
     got = {r.unit: (r.x, r.clock, r.moves, r.blocked, r.distance) for r in contention.ticked(state, wish, 10).collect()}
     assert got == {1: (0, 10005, 0, 1, 0), 2: (1, 10000, 1, 0, 10000)}
+
+
+def test_levels_keep_costs_and_direct_shortcuts(spark):
+    cells, at = _cells(spark, 8, 0.75, 11)
+    arcs = search.scratch(paths.numbered(cells))
+    sub = search.scratch(grid.subgoals(cells).select(paths.node("x", "y").alias("source")))
+    plain = hierarchies.subgoal_graph(sub, arcs)
+    levels, graph = contraction.r_contracted(plain)
+    level, rows = {r.node: r.level for r in levels.collect()}, graph.collect()
+    assert max(level.values()) > 0
+    far = lambda a, b: (lambda dx, dy: min(dx, dy) * 14142 + abs(dx - dy) * 10000)(abs(a % paths.WIDTH - b % paths.WIDTH), abs(a // paths.WIDTH - b // paths.WIDTH))
+    assert all(r.cost == far(r.source, r.target) for r in rows)
+    assert all(level[r.source] != level[r.target] or level[r.source] == max(level.values()) for r in rows)
+    full = search.Graph(*search.collected(plain))
+    up = search.Graph(*map(list, zip(*((r.source, r.target, r.cost) for r in rows if level[r.source] <= level[r.target]))))
+    climbs = {n: up.distances(n) for n in level}
+    for s in level:
+        want = full.distances(s)
+        for t in level:
+            met = [c + climbs[t][n] for n, c in climbs[s].items() if n in climbs[t]]
+            assert (min(met) if met else None) == want.get(t)
