@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import intervals as I, visibility as V
+from ..operators import intervals as I, mesh_intervals as MI, meshes as M, visibility as V
 from ..plans import derived as D
 
 
@@ -27,10 +27,35 @@ def _taut_arcs(s, d) -> DataFrame:
     return I.sight_arcs(D.cells(s, d), none, none).where("y <> ty").select("x", "y", "tx", "ty", F.round("length", 6).alias("length"))
 
 
+def _mesh(s, d) -> DataFrame:
+    """The open cells as a mesh of rectangles that meet at parts of their edges."""
+    return M.from_boxes(V.rectangles(D.cells(s, d)))
+
+
+def _fans(s, d) -> DataFrame:
+    """Vertices of the mesh where obstacles touch, with the number of fans that its polygons form there."""
+    halves = MI.half_edges(MI.oriented(_mesh(s, d)))
+    parts = MI.fans(halves, MI.portals(halves))
+    return parts.groupBy(*(F.col(c).cast("long").alias(c) for c in "xy")).agg(F.countDistinct("fan").alias("fans"))
+
+
+def _mesh_arcs(s, d) -> DataFrame:
+    """The arcs from corners of the mesh to the nearest corner in a direction, but for those along x, at both ends of which a
+    taut path may turn. Cones see what lies behind a corner only where they pass it on one side."""
+    none = D.cells(s, d).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x < 0")
+    arcs = MI.sight_arcs(_mesh(s, d), none, none)[0].where("y <> ty")
+    # quotients of equal fractions of small whole numbers are equal doubles
+    nearest = arcs.groupBy("x", "y", F.expr("(tx - x) / (ty - y)").alias("slope"), F.expr("ty > y").alias("up")).agg(F.min(F.struct("length", "tx", "ty", "bent", "ends")).alias("m"))
+    return nearest.where("m.bent and m.ends").select(*(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("x", "y", "m.tx", "m.ty")), F.round("m.length", 6).alias("length"))
+
+
 QUERIES = {
     "pg36_any_angle_length": lambda s, d: V.any_angle(D.cells(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length")),
     "pg37_interval_length": lambda s, d: I.interval_lengths(D.cells(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length")),
     "fl09_taut_arcs": _taut_arcs,
+    "pg40_mesh_length": lambda s, d: MI.interval_lengths(_mesh(s, d), D.problems(s, d)).select("id", F.round("length", 6).alias("length")),
+    "pg40_mesh_arcs": _mesh_arcs,
+    "jn09_ambiguous_corners": _fans,
     "pg41_any_angle_polyline": lambda s, d: V.any_angle(D.cells(s, d), D.problems(s, d)).select("id", F.posexplode("points").alias("k", "p")).select("id", "k", "p.x", "p.y"),
     "or06_rectangles": lambda s, d: V.rectangles(D.cells(s, d)),
     "or07_merged_boxes": lambda s, d: _merged_cells(s, d),
@@ -69,6 +94,10 @@ ORACLES = {
     "pg36_any_angle_length": _ANY_ANGLE,
     "pg37_interval_length": _ANY_ANGLE,
     "fl09_taut_arcs": f"WITH {_SIGHT}, p AS (SELECT a.x, a.y, b.x AS tx, b.y AS ty FROM co a JOIN co b ON a.y <> b.y AND (b.x - a.x) * (b.y - a.y) * a.turn <= 0 AND (b.x - a.x) * (b.y - a.y) * b.turn <= 0), v AS ({_sees('p')}) SELECT x, y, tx, ty, round({_LINE}, 6) AS length FROM v",
+    # On a mesh of rectangles, paths between corners are taut where those on the grid are.
+    "pg40_mesh_arcs": f"WITH {_SIGHT}, p AS (SELECT a.x, a.y, b.x AS tx, b.y AS ty FROM co a JOIN co b ON a.y <> b.y AND (b.x - a.x) * (b.y - a.y) * a.turn <= 0 AND (b.x - a.x) * (b.y - a.y) * b.turn <= 0), v AS ({_sees('p')}), o AS (SELECT v.* FROM v ANTI JOIN co ON (co.x - v.x) * (ty - v.y) = (co.y - v.y) * (tx - v.x) AND co.y > least(v.y, ty) AND co.y < greatest(v.y, ty)) SELECT x, y, tx, ty, round({_LINE}, 6) AS length FROM o",
+    "pg40_mesh_length": _ANY_ANGLE,
+    "jn09_ambiguous_corners": f"WITH {_SIGHT} SELECT x, y, 2::BIGINT AS fans FROM pinch",
     "or06_rectangles": f"WITH {_RECT} SELECT * FROM rect",
     "or07_merged_boxes": f"WITH {D.CELLS_SQL} SELECT m AS map, x + off AS x, y FROM cells CROSS JOIN (VALUES ('strips', 0), ('squares', 100)) t(m, off)",
     "jn08_point_location": f"WITH {_RECT}, {D.PROBLEMS_SQL}, p AS (SELECT id, (sx*32+gy)/32.0::DOUBLE AS x, (sy*32+gx)/32.0::DOUBLE AS y FROM problems) SELECT id, x1, y1, CASE WHEN (x = x1 OR x = x2) AND (y = y1 OR y = y2) THEN 'corner' WHEN x = x1 OR x = x2 OR y = y1 OR y = y2 THEN 'edge' ELSE 'inside' END AS state FROM p JOIN rect ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2",
