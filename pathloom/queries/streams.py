@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as G
 from ..operators.paths import WIDTH, node
 from ..plans import derived as D
+from ..plans.scratch import stored
 from ..streaming import contention as C, stats as T
 from .grid import BASE
 
@@ -24,16 +25,17 @@ def _units(s, d):
 TICKS = 16
 
 
-def _crowd(s, d):
+def _crowd(s, d, cells):
     """Users as units on every second open cell, a map for each policy."""
-    ranks = G.ranked(D.cells(s, d).select(node("x", "y").alias("node")))
+    ranks = G.ranked(cells.select(node("x", "y").alias("node")))
     users = D.table(s, d, "events").select(F.col("user_id").alias("unit")).distinct().withColumn("rank", F.col("unit") * 2)
     policies = F.explode(F.array(*map(F.lit, ("billiard", "random", "right_hand", "teleport")))).alias("policy")
     return users.join(ranks, "rank").select(policies, F.col("unit").cast("long").alias("unit"), (F.col("node") % WIDTH).alias("x"), F.expr(f"node div {WIDTH}").alias("y"))
 
 
 def _contested(s, d):
-    return C.contested(D.cells(s, d), _crowd(s, d), TICKS)
+    cells = stored(D.cells(s, d), "cells")  # the line items are read once, for the map and the crowd
+    return C.contested(cells, _crowd(s, d, cells), TICKS)
 
 
 QUERIES = {

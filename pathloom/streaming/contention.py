@@ -59,7 +59,9 @@ def contested(cells: DataFrame, units: DataFrame, ticks: int) -> DataFrame:
     Policies: right_hand takes the first free cell of right, ahead, left, back; billiard goes on, or back; random draws one
     of eight moves; teleport draws an open cell. Units of other policies are on maps of their own. Units see each other: a
     cell that is held counts as blocked. Ticks are a straight move apart and a unit acts in one if its clock is not past
-    it, so diagonal moves fall behind. A tick is one job over tables, whose result is written to the shared folder."""
+    it, so diagonal moves fall behind. A tick is one job over tables, whose result is written to the shared folder. So are
+    the cells, once: what they are derived from is read no more often than that, however many joins are on them."""
+    cells = stored(cells.select("x", "y"), "cells")
     legal = G.arcs(cells)
     turn = F.coalesce(*(F.when((F.col("x2") - F.col("x") == dx) & (F.col("y2") - F.col("y") == dy), F.lit(k).cast("long")) for k, (dx, dy) in enumerate(G.MOVES)))
     legal = stored(legal.withColumn("d2", turn), "legal")
@@ -69,5 +71,5 @@ def contested(cells: DataFrame, units: DataFrame, ticks: int) -> DataFrame:
         now = tick * G.STRAIGHT
         acting = out[-1].where(F.col("clock") <= now)
         out.append(stored(ticked(out[-1], _wishes(acting, tick, legal, ranks, n), now), "tick"))
-    discard(legal, ranks)
+    discard(cells, legal, ranks)
     return reduce(DataFrame.unionByName, (t.withColumn("tick", F.lit(k).cast("long")) for k, t in enumerate(out)))

@@ -3,7 +3,8 @@
 import random
 
 from pathloom.operators import abstraction, contraction, grid, hierarchies, paths
-from pathloom.plans import search
+from pathloom.plans import derived, search
+from pathloom.queries import streams
 from pathloom.streaming import contention
 
 
@@ -48,6 +49,20 @@ def test_no_cell_is_held_twice(spark):
     assert out.moves.max() == 0 and (out[out.tick == 5].blocked == 5).all()
 
 
+def test_cells_are_derived_once(spark, monkeypatch):
+    """Of the shared maps: the map and the crowd are taken from one reading of the line items."""
+    read, cells = spark.sparkContext.accumulator(0), derived.cells
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(derived, "cells", lambda s, d: cells(s, d).mapInArrow(counted, "x long, y long"))
+    got = streams.QUERIES["sm04_travelled"](spark, "/root/testdata/sf0.001").count()
+    assert got == 4 * (streams.TICKS + 1) and read.value == cells(spark, "/root/testdata/sf0.001").count()
+
+
 def test_the_first_by_clock_takes_the_cell(spark):
     row = spark.createDataFrame([(x, 0) for x in range(3)], "x long, y long")
     state = contention.placed(row, spark.createDataFrame([("random", 1, 0, 0), ("random", 2, 2, 0)], "policy string, unit long, x long, y long"))
