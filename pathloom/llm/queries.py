@@ -41,7 +41,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.sharded(sharding.digest(table(spark, sf_dir, "documents")), 24)
+    rows = sharding.digest(sharding.sharded(table(spark, sf_dir, "documents"), 24), "shard", "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -60,26 +60,27 @@ def sharded(docs: DataFrame, n_shards: int = 24, seed: int = 9) -> DataFrame:
     """docs with two more columns, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     Shards differ by at most one row. The places depend on the seed, the rows and their number, not on how the table is
-    dealt: a row is told by the hashes of all its columns, and of rows equal in all of them each has a number. Equal rows
-    are counted and made again, so any number of them is dealt out evenly. Whole texts travel, however long; null ids and
+    dealt: a row is told by 128 bits of hashes of all its columns, and of rows equal in all of them each has a number. Equal
+    rows are counted and made again, so any number of them is dealt out evenly. Places are found for the hashes alone; then
+    the whole rows travel to them once, however long the texts. Null ids and
     nulls in any column count as values like others, and ties of hashes are broken by the number. An empty table gives an
     empty one. Columns named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
     key, own = row_hashes(docs)
     # the columns travel as one, so that none can clash
-    rows = numbered(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("_key"), own.alias("_own")))
-    rows = stored(rows, "rows")
-    total = rows.count()
+    rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("_key"), own.alias("_own")), "rows")
+    places = stored(numbered(rows.select("_key", "_own")), "places")
+    total = places.count()
     n_parts = min(MOST_PARTS, max(1, -(-total // PART_ROWS)))
     place = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "_key", "_own", "_copy")
-    rows = rows.withColumn("_part", F.pmod(place(1), F.lit(n_parts)).cast("int"))
-    parts = stored(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")), "parts", n_parts)
+    dealt = places.withColumn("_part", F.pmod(place(1), F.lit(n_parts)).cast("int"))
+    parts = stored(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")), "parts", n_parts)
     upto = F.sum("n").over(Window.partitionBy("_part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     ends = matrix(parts, n_shards, seed).withColumn("end", upto)
     ends = ends.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("_ends"))  # an entry per shard
     at = F.row_number().over(Window.partitionBy("_part").orderBy(place(2), "_key", "_own", "_copy"))
-    dealt = rows.withColumn("_at", at).join(ends, "_part")
+    dealt = dealt.withColumn("_at", at).join(ends, "_part")
     # the first shard whose end the row's place does not exceed
     dealt = dealt.withColumn("shard", F.get(F.filter("_ends", lambda e: e["end"] >= F.col("_at")), F.lit(0))["shard"])
     n_pieces = max(1, -(-total // n_shards // PART_ROWS))
@@ -88,11 +89,16 @@ def sharded(docs: DataFrame, n_shards: int = 24, seed: int = 9) -> DataFrame:
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = pieces.select("shard", "_piece", before.alias("_before"))
     at = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(F.xxhash64("_turn", F.lit(4)), "_key", "_own", "_copy"))
-    out = dealt.withColumn("_at", at).join(pieces, ["shard", "_piece"])
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "shard", (F.col("_before") + F.col("_at") - 1).alias("slot"))
+    dealt = dealt.withColumn("_at", at).join(pieces, ["shard", "_piece"]).select("_key", "_own", "_copy", "shard", (F.col("_before") + F.col("_at") - 1).alias("slot"))
+    # each row goes to its place, whole; only those that there are more than once need a number for it
+    again = stored(places.where("_copy = 1").select("_key", "_own"), "again")
+    alone = rows.join(again, ["_key", "_own"], "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    equal = numbered(rows.join(again, ["_key", "_own"], "left_semi"))
+    out = alone.unionByName(equal).join(dealt.hint("merge"), ["_key", "_own", "_copy"])  # by a shuffle at any size
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "shard", "slot")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size (bytes of the text and 8) and text_crc32, the columns that shards of documents are told by."""
+def digest(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, size (bytes of the text and 8) and text_crc32, the columns that shards of documents are told by, and those kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *kept)

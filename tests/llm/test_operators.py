@@ -8,6 +8,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import _components, embedding_dedup, langid, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, queries, sharding, toxicity
 
@@ -378,6 +379,24 @@ def test_sharding(spark, docs, odd, empty):
     assert sharding.sharded(odd, 5).columns == [*odd.columns, "shard", "slot"]
 
 
+def test_op9_deals_out_whole_documents(spark, monkeypatch):
+    """The operator gets the texts, and the query's digest is taken from what it returns."""
+    real, seen = sharding.sharded, []
+
+    def spy(docs, *args):
+        seen.append(docs.columns)
+        return real(docs, *args).withColumn("text", F.concat("text", F.lit("+")))
+
+    monkeypatch.setattr(sharding, "sharded", spy)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = queries.op9_sharding(spark, SF).collect()
+    assert seen == [docs.columns]
+    texts = {r.doc_id: "" if r.text is None else r.text + "+" for r in docs.collect()}
+    assert len(got) == len(texts) and all(r["size"] == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(24)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_matrix_has_the_law_of_a_shuffle(spark):
     """Counts of many parts against the multivariate hypergeometric law: sums, mean, deviation and covariance."""
     n_parts, n, shards = 1500, 30, 3
