@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +52,23 @@ class WordIds:
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self._tokenizer.normalizer is None
         added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._whole = "|".join([f"{_WHITE} ", r"[\x00\x1C-\x1F\x{85}]", *added]) if plain else ""
-        self._forget()
-
         size = max(self._tokenizer.get_vocab().values(), default=0) + 1
         self._opens = np.zeros(size, bool)  # which tokens begin with a space, which byte-level vocabularies write so
         self._opens[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self._forget()
+        self._words, self._met = pa.array([], pa.large_string()), np.zeros(0, np.int64)  # how often each was met
+        self._flat, self._ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # the ids of all words, one after the other
 
     def _forget(self) -> None:
-        self._words = pa.array([], pa.large_string())
-        self._flat, self._ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # the ids of all words, one after the other
+        """Keeps the half of the words that was met most often, of late above all."""
+        kept = np.sort(np.argsort(-self._met, kind="stable")[: CACHE_WORDS // 2])
+        self._flat, ends = self._ids(kept)
+        self._words, self._ends, self._met = self._words.take(pa.array(kept)), ends, self._met[kept] // 2
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after the other, and where each word's begin and end there."""
+        start, n = self._ends[at], self._ends[at + 1] - self._ends[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return self._flat[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])], ends
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,6 +95,7 @@ class WordIds:
             last += len(ids)
             ends.append(np.array([last]))
         self._flat, self._ends, self._words = np.concatenate(flat), np.concatenate(ends), pa.concat_arrays([self._words, words])
+        self._met = np.append(self._met, np.zeros(len(words), np.int64))
 
     def texts(self, column: pa.Array) -> list[bytes]:
         """The ids of each text, 32-bit and little-endian; null counts as empty."""
@@ -108,15 +117,21 @@ class WordIds:
             at = at.astype(np.int64)
         else:
             at = at.to_numpy(zero_copy_only=False)
-        start, n = self._ends[at], self._ends[at + 1] - self._ends[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        flat = self._flat[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        self._met += np.bincount(at, minlength=len(self._met))
+        flat, ends = self._ids(at)
+        flat = flat.tobytes()
         limits = 4 * ends[np.concatenate(([0], np.cumsum(per_text, dtype=np.int64)))]
         found = iter([flat[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())])
         alone = iter([self._encoded([t])[0].tobytes() for t in column.filter(whole).to_pylist()])
         return [next(alone if w else found) for w in whole.to_pylist()]
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str, changed: int) -> WordIds:
+    """One of a worker, which lives on between its tasks, with the words that it has met."""
+    return WordIds(path)
+
+
 def cuts(tokens: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
     """Lengths of a document's pieces."""
     out = [capacity] * (tokens // capacity)
@@ -182,12 +197,12 @@ def _pack(tokenizer: str, path: str | None):
         from pyspark import TaskContext
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        if path is None:
+        own = path
+        if own is None:
             import public_tokenizers
 
-            ids_of = WordIds(public_tokenizers.path(tokenizer))
-        else:
-            ids_of = WordIds(path)
+            own = public_tokenizers.path(tokenizer)
+        ids_of = _word_ids(str(own), os.stat(own).st_mtime_ns)
         packer = Packer(TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
 
@@ -202,8 +217,8 @@ def _pack(tokenizer: str, path: str | None):
                     ids = own_ids + b"\0\0\0\0"
                     tokens, start = len(ids) // 4, 0
                     for n in cuts(tokens):
-                        own = ids[4 * start : 4 * (start + n)]
-                        rows.extend(packer.add((doc, start, n, own, zlib.crc32(own), tokens)))
+                        part_ids = ids[4 * start : 4 * (start + n)]
+                        rows.extend(packer.add((doc, start, n, part_ids, zlib.crc32(part_ids), tokens)))
                         start += n
                 if rows:
                     yield batch()

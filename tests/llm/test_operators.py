@@ -359,6 +359,32 @@ def test_ids_of_any_unicode_are_the_tokenizer_s(docs):
     assert [ascii(x) for x, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_words_met_often_are_not_encoded_anew(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    w, asked = packing.WordIds(public.path("byte_bpe_50k.json")), []
+    real = w._encoded
+    monkeypatch.setattr(w, "_encoded", lambda texts: asked.extend(texts) or real(texts))
+    for k in range(6):
+        texts = [f"x often often often rare{k}{i} {i}{k}" for i in range(30)] + ["", None]
+        want = [np.array(e.ids, "<u4").tobytes() for e in w._tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert w.texts(pa.array(texts)) == want
+    assert sum(" often" in a for a in asked) == 1
+
+
+def test_a_worker_keeps_the_words_of_its_tasks(monkeypatch):
+    import pyspark
+
+    pytest.importorskip("public_tokenizers")
+    made, real = [], packing.WordIds.__init__
+    monkeypatch.setattr(packing.WordIds, "__init__", lambda self, path: made.append(path) or real(self, path))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: cls))
+    monkeypatch.setattr(pyspark.TaskContext, "partitionId", classmethod(lambda cls: 3))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words and more", None]})
+    a, b = ([r for out in packing._pack("byte_bpe_50k.json", None)(iter([batch])) for r in out.to_pylist()] for _ in range(2))
+    assert a == b and sorted(r["doc_id"] for r in a) == [1, 2] and len(made) <= 1
+
+
 def test_cuts_hold_all_tokens():
     for n in [*range(1, 2100), 100001]:
         c = packing.cuts(n)
